@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iter
         col = batch.column(text)
         if not batch.num_rows:
             continue
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.float64))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.float64))
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
@@ -60,7 +61,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. offsets has one entry more than the column."""
     col = col.cast(pa.large_binary()) if not pa.types.is_large_binary(col.type) else col
     if col.null_count:
-        col = pa.compute.fill_null(col, b"")
+        col = pc.fill_null(col, b"")
     offsets = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
     data = col.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -167,11 +167,15 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_c
     return map_arrow(rows, run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
+def _is(kind: str):
+    return lambda x: x == kind
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     base = F.filter("spans", lambda s: s.kind != "guess")
-    n = {k: F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS}
-    return found.select("doc_id", *n.values(), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    n = [F.size(F.filter(F.transform("spans", lambda s: s.kind), _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *n, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
