@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from lodestar.llm import decontaminate, line_dedup
+from lodestar.llm.decontaminate import op5_decontaminate
 from lodestar.llm.language_id import op1_language_id
+from lodestar.llm.line_dedup import op2_line_dedup
 from lodestar.llm.secret_scan import op3_secret_scan
 from lodestar.llm.sentence_pieces import op7_sentence_pieces
 from lodestar.llm.token_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op7_sentence_pieces, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_secret_scan, op5_decontaminate, op7_sentence_pieces, op8_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL}
