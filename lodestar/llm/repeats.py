@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
-from lodestar.llm.common import map_arrow, sub_batches, tasks, text_bytes
+from lodestar.llm.common import LAST_ID, map_arrow, sub_batches, tasks, text_bytes
 from lodestar.llm.native import keyed
 
 #: Units of a batch: the value of each, where each text's begin, and what windows' contents are cut from.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-SHARDS = 4  # a shuffle partition
+SHARDS = 1  # a shuffle partition
 PACKED = "shard int, settled boolean, docs binary, counts binary, a binary, b binary, c binary, body binary"
 
 
@@ -77,7 +77,9 @@ def runs(values: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
 def _pack(kind: bool, shard: np.ndarray, ids: np.ndarray, text: np.ndarray, a, b, c, sizes=None, body=None) -> Iterator[dict]:
     """A row for each shard. ids: (d, th) of each text; text, a, b, c: of each entry; sizes and body: content of each entry."""
     order = np.lexsort((text, shard))
-    bounds = np.flatnonzero(np.diff(shard[order], prepend=-1)) if len(order) else []
+    if not len(order):
+        return
+    bounds = np.flatnonzero(np.diff(shard[order], prepend=-1))
     starts = np.concatenate([[0], np.cumsum(sizes)]) if sizes is not None else None
     for i, j in zip(bounds, [*bounds[1:], len(order)], strict=True):
         o = order[i:j]
@@ -288,7 +290,9 @@ def marked(df: DataFrame, units: Units, length: int, gram: int, content: Content
     rows = keyed(df, id_col, text_col)
     found = repeated(rows, live(rows, units, length, gram, most), units, length, gram, content, method, most)
     by_doc = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return rows.join(by_doc, ["d", "th"], "left")
+    # The same exchange of (d, th, text) serves this join and the one in repeated().
+    joined = rows.select("d", "th", "text").join(by_doc, ["d", "th"], "left")
+    return joined.select("d", "th", F.when(F.col("d") != LAST_ID, F.col("d")).alias("doc_id"), "text", "runs")
 
 
 def covered(batch: pa.RecordBatch, offsets: np.ndarray, total: int, length: int) -> np.ndarray:
