@@ -37,7 +37,7 @@ from lodestar.llm import hashes as H
 from lodestar.llm.common import components, cut, map_arrow, sub_batches, table, tasks, text_bytes
 from lodestar.llm.native import small
 
-BATCH = 1 << 23
+BATCH = 1 << 21
 CELLS = 1 << 20  # of the count sketch
 BLOCK = 1 << 16
 HOT = 20_000  # documents of a key from which on it is grouped by aggregation

@@ -31,7 +31,8 @@ from lodestar.llm.common import map_arrow, sub_batches, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model file
-MEMO = 400_000  # words whose ids a worker keeps; the memo starts anew beyond that
+PAIR = (2,)  # lengths to try, longest first, for a tail that no longer piece ends in
+MEMO = 1_000_000  # words whose ids a worker keeps, some 200 MB; the memo starts anew beyond that
 
 
 class Model:
@@ -56,6 +57,12 @@ class Model:
         self.rank = ids
         self.ids = {p: i for p, i in ids.items() if len(p) == 1 or not self.merges or self._merge(list(p)) == [p]}
         self.longest = max(map(len, self.ids), default=1)
+        #: For each tail of three characters, the lengths of the pieces that end in it, longest first.
+        tails: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 2:
+                tails.setdefault(piece[-3:], set()).add(len(piece))
+        self.tails = {k: (*sorted(v, reverse=True), 2) for k, v in tails.items()}
         self.crosses = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -162,10 +169,13 @@ class Stream:
 
     def feed(self, chars: str) -> list[int]:
         out: list[int] = []
-        for c in chars:
-            self.text += c
-            self._step()
-            if len(self.text) >= 4 * self.m.longest:
+        most = 4 * self.m.longest  # what is not agreed on is looked at again after every so many characters
+        for at in range(0, len(chars), most):
+            known = len(self.text)
+            self.text += chars[at : at + most]
+            for i in range(known + 1, len(self.text) + 1):
+                self._step(i)
+            if len(self.text) > most:
                 out += self._commit()
         return out
 
@@ -175,18 +185,55 @@ class Stream:
         return out
 
     def all(self, text: str) -> list[int]:
+        if self.m.merges and len(text) <= 4 * self.m.longest:
+            return self._at_once(text)
         return self.feed(text) + self.close()
 
-    def _step(self) -> None:
-        m, text, last = self.m, self.text, self.last
+    def _at_once(self, text: str) -> list[int]:
+        """A text within one window: the same steps as feed() takes, without commits between."""
+        m = self.m
+        ids, pairs, fits, tails = m.ids, m.pairs, m.fits, m.tails.get
+        last = [""]
+        put = last.append
+        for i in range(1, len(text) + 1):
+            found = text[i - 1]
+            for n in tails(text[i - 3 : i], PAIR) if i > 2 else PAIR[: i - 1]:
+                if n <= i:
+                    piece = text[i - n : i]
+                    if piece in ids:
+                        before = last[i - n]
+                        fit = pairs.get((before, piece)) if before else True
+                        if fit or (fit is None and fits(before, piece)):
+                            found = piece
+                            break
+            put(found)
+        out: list[int] = []
         i = len(text)
+        while i:
+            piece = last[i]
+            k = ids.get(piece)
+            if k is None:
+                out += m.units(piece)[::-1]
+            else:
+                out.append(k)
+            i -= len(piece)
+        return out[::-1]
+
+    def _step(self, i: int) -> None:
+        """The last piece of the path that survives at position i."""
+        m, text, last = self.m, self.text, self.last
         ids = m.ids
         if m.merges:
-            for j in range(max(0, i - m.longest), i - 1):
-                piece = text[j:i]
-                if piece in ids and (not last[j] or m.fits(last[j], piece)):
-                    last.append(piece)
-                    return
+            pairs = m.pairs
+            for n in m.tails.get(text[i - 3 : i], PAIR) if i > 2 else PAIR[: i - 1]:
+                if n <= i:
+                    piece = text[i - n : i]
+                    if piece in ids:
+                        before = last[i - n]
+                        fit = pairs.get((before, piece)) if before else True
+                        if fit or (fit is None and m.fits(before, piece)):
+                            last.append(piece)
+                            return
             last.append(text[i - 1])
             return
         best, found = self.value[i - 1] + (m.score[ids[text[i - 1]]] if text[i - 1] in ids else m.low), text[i - 1]
