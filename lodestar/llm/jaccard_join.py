@@ -12,8 +12,10 @@ is the one shingle). Documents link when 100 * shared >= percent * all shingles
    (band, word place, word value) keys one agrees among the first allowed(n) + 1 of either document. The order is by how
    frequent a key is: a fixed-size count sketch over all documents tells it, and any error in it is harmless.
    Documents with too few such words can only miss each other, and share a key of their own.
-4. Documents that share a key are candidates. Each is paired with the least document of its key, the pairs with most
-   keys are verified first, and then only those pairs of a key whose ends are in different components so far.
+4. Documents that share a key are candidates. Each is paired with the least document of its key, and the pair with most
+   keys is verified; if it links, that document is the other's pivot. Two documents of a key that are in different
+   components then are compared by their pivots first: sets around two pivots differ by at least the pivots' difference
+   less both distances, so most pairs fall with one comparison of pivots, and the rest are verified themselves.
    Verification makes both sets from the texts and counts.
 
 Keys that very many documents have are grouped by the engine's own aggregation and joins (spread over tasks); the others
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
@@ -256,27 +258,29 @@ def _first_keys(sketch: np.ndarray, full: np.ndarray, few: np.ndarray, most: np.
     return (np.concatenate(out_text), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose documents link."""
-    both = pairs.select("a", "b").join(rows.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b").join(rows.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
+def measured(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(a, b, na, nb, shared) of every pair: sizes of the two sets and of their intersection."""
+    pairs = pairs.select("a", "b")
+    wanted = small(cut(pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()))
+    rows = rows.select("d", "text").join(wanted, "d", "left_semi")
+    both = pairs.join(rows.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b").join(rows.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "tb", BATCH // 2):
             x, xb = shingles(*text_bytes(batch.column("ta")), size)
             y, yb = shingles(*text_bytes(batch.column("tb")), size)
-            keep = []
+            shared = np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
-                p, q = x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]]
-                if not len(p) or not len(q) or 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    continue
-                z = np.concatenate([p, q])
+                z = np.concatenate([x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]]])
                 z.sort()
-                shared = int((z[1:] == z[:-1]).sum())
-                if 100 * shared >= percent * (len(p) + len(q) - shared):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                shared[i] = np.count_nonzero(z[1:] == z[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.diff(xb)), pa.array(np.diff(yb)), pa.array(shared)], names=["a", "b", "na", "nb", "shared"])
+
+    return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long, na long, nb long, shared long")
+
 
-    return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
+def linked(percent: int) -> Column:
+    return (F.col("shared") > 0) & (100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
 
 
 def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, cells: int = CELLS) -> DataFrame:
@@ -293,20 +297,38 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     pairs = found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "c").unionByName(stars)
     pairs = cut(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")))
     best = cut(pairs.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"))
-    links = cut(verified(best, rows, size, percent))
+    first = cut(measured(best, rows, size))
+    links = first.where(linked(percent)).select("a", "b")
     label = components(links)
 
-    def labelled(df: DataFrame, col: str, name: str) -> DataFrame:
-        return df.join(label.select(F.col("node").alias(col), F.col("component").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
-
-    rest = labelled(labelled(pairs.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    groups = labelled(found.where("kind in (2, 3)").select(F.col("x").alias("g"), F.col("y").alias("d")).distinct(), "d", "c")
-    groups = cut(groups)
-    split = small(cut(groups.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")))
-    groups = groups.join(split, "g")
-    cross = groups.select("g", F.col("d").alias("a"), F.col("c").alias("ca")).join(groups.select("g", F.col("d").alias("b"), F.col("c").alias("cb")), "g").where("a < b and ca <> cb").select("a", "b")
-    more = cut(rest.unionByName(cross).distinct().join(best, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(more, rows, size, percent))
+    # A document that links with the one it was paired with has that as its pivot, at a known distance (of sets).
+    near = first.where(linked(percent)).groupBy("b").agg(F.max("a").alias("pivot"), F.max(F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("r"), F.count(F.lit(1)).alias("k")).where("k = 1")
+    nodes = docs.groupBy("d").agg(F.max("n").alias("n")).join(near.select(F.col("b").alias("d"), "pivot", "r"), "d", "left").join(label.select(F.col("node").alias("d"), "component"), "d", "left")
+    nodes = cut(nodes.select("d", "n", F.coalesce("pivot", "d").alias("pivot"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("component", "d").alias("c")))
+    groups = cut(found.where("kind in (2, 3)").select(F.col("x").alias("g"), F.col("y").alias("d")).distinct().join(nodes.select("d", "pivot", "c"), "d"))
+    split = groups.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
+    groups = cut(groups.join(small(cut(split)), "g"))
+    at = lambda side: nodes.select(F.col("d").alias(side), F.col("pivot").alias("p" + side), F.col("c").alias("c" + side))
+    rest = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select("a", "b", "pa", "pb")
+    rest = cut(rest.join(best, ["a", "b"], "left_anti"))
+
+    # Sets of documents around two pivots differ by at least the pivots' difference less both distances.
+    ball = groups.select("g", "pivot", "c").distinct()
+    ball = ball.select("g", F.col("pivot").alias("pa"), F.col("c").alias("ca")).join(ball.select("g", F.col("pivot").alias("pb"), F.col("c").alias("cb")), "g").where("pa < pb and ca <> cb").select("pa", "pb")
+    ball = cut(ball.unionByName(rest.select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"))).distinct())
+    radius = cut(nodes.groupBy("pivot").agg(F.max("r").alias("r"), F.max("n").alias("n")))
+    second = cut(measured(ball.select(F.col("pa").alias("a"), F.col("pb").alias("b")), rows, size))
+    links = links.unionByName(second.where(linked(percent)).select("a", "b"))
+    apart = second.groupBy("a", "b").agg(F.min(F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("apart"))
+    of = lambda side: radius.select(F.col("pivot").alias(side), F.col("r").alias("r" + side), F.col("n").alias("n" + side))
+    maybe = apart.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * (F.col("apart") - F.col("ra") - F.col("rb")) <= (100 - percent) * (F.col("na") + F.col("nb")))
+    maybe = cut(maybe.select(F.col("a").alias("pa"), F.col("b").alias("pb")))
+    ends = cut(groups.join(small(cut(maybe.select(F.col("pa").alias("pivot")).unionByName(maybe.select(F.col("pb").alias("pivot"))).distinct())), "pivot"))
+    cross = ends.select("g", F.col("d").alias("x"), F.col("pivot").alias("px"), F.col("c").alias("cx")).join(ends.select("g", F.col("d").alias("y"), F.col("pivot").alias("py"), F.col("c").alias("cy")), "g").where("px < py and cx <> cy")
+    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("px").alias("pa"), F.col("py").alias("pb"))
+    cross = cross.unionByName(rest.select("a", "b", F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"))).join(maybe, ["pa", "pb"]).select("a", "b")
+    more = cut(cross.distinct().join(best, ["a", "b"], "left_anti").join(second.select("a", "b"), ["a", "b"], "left_anti"))
+    links = links.unionByName(measured(more, rows, size).where(linked(percent)).select("a", "b"))
 
     equal = small(cut(docs.where("n > 0").groupBy("k1", "k2").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead <> last").select("k1", "k2", "lead")))
     docs = docs.join(equal, ["k1", "k2"], "left").select("d", "th", "n", F.when(F.col("n") > 0, F.coalesce("lead", "d")).otherwise(F.col("d")).alias("lead"))
