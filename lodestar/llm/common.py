@@ -68,6 +68,20 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """The bytes of an array, compressed; the first 8 tell how many they were."""
+    raw = np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def unsqueezed(parts: list[bytes | None], dtype) -> np.ndarray:
+    """The arrays of squeeze(), one after the other."""
+    return np.frombuffer(b"".join(_CODEC.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in parts if x), dtype=dtype)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

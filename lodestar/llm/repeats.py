@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
-from lodestar.llm.common import LAST_ID, map_arrow, sub_batches, tasks, text_bytes
+from lodestar.llm.common import LAST_ID, map_arrow, squeeze, sub_batches, tasks, text_bytes, unsqueezed
 from lodestar.llm.native import keyed
 
 #: Units of a batch: the value of each, where each text's begin, and what windows' contents are cut from.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 SHARDS = 1  # a shuffle partition
+PART = 1 << 21  # bytes of contents that a shard compares at a time, if no anchor has more
 PACKED = "shard int, settled boolean, docs binary, counts binary, a binary, b binary, c binary, body binary"
 
 
@@ -84,9 +85,9 @@ def _pack(kind: bool, shard: np.ndarray, ids: np.ndarray, text: np.ndarray, a, b
     for i, j in zip(bounds, [*bounds[1:], len(order)], strict=True):
         o = order[i:j]
         texts, counts = np.unique(text[o], return_counts=True)
-        row = {"shard": int(shard[o[0]]), "settled": kind, "docs": ids[texts].tobytes(), "counts": counts.astype(np.uint32).tobytes()}
-        row |= {k: x[o].tobytes() if x is not None else None for k, x in (("a", a), ("b", b), ("c", c))}
-        row["body"] = body[_spans(starts[o], sizes[o])].tobytes() if sizes is not None else None
+        row = {"shard": int(shard[o[0]]), "settled": kind, "docs": squeeze(ids[texts].T), "counts": squeeze(counts.astype(np.uint32))}
+        row |= {k: squeeze(x[o]) if x is not None else None for k, x in (("a", a), ("b", b), ("c", c))}
+        row["body"] = squeeze(body[_spans(starts[o], sizes[o])]) if sizes is not None else None
         yield row
 
 
@@ -99,14 +100,15 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _array(name: str, table: pa.Table, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), dtype=dtype)
+    return unsqueezed(table.column(name).to_pylist(), dtype)
 
 
 def _docs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(d, th) of each entry."""
-    ids = _array("docs", table, np.int64).reshape(-1, 2)
-    ids = np.repeat(ids, _array("counts", table, np.uint32).astype(np.int64), axis=0)
-    return ids[:, 0], ids[:, 1]
+    ids = [unsqueezed([x], np.int64).reshape(2, -1) for x in table.column("docs").to_pylist()]
+    ids = np.concatenate(ids, axis=1) if ids else np.zeros((2, 0), np.int64)
+    ids = np.repeat(ids, _array("counts", table, np.uint32).astype(np.int64), axis=1)
+    return ids[0], ids[1]
 
 
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -120,6 +122,17 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column("d").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
 
 
+def _content_hashes(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each content, some megabyte of body at a time."""
+    out = np.empty(len(size), np.uint64)
+    ends, i = begin + size, 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, begin[i] + (1 << 20), side="right")))
+        out[i:j] = H.ranges(H.prefix(H.BYTES[body[begin[i] : ends[j - 1]]]), begin[i:j] - begin[i], ends[i:j] - begin[i])
+        i = j
+    return out
+
+
 def _least(group: np.ndarray, n: int, d: np.ndarray) -> np.ndarray:
     low = np.full(n, np.iinfo(np.int64).max, np.int64)
     np.minimum.at(low, group, d)
@@ -234,36 +247,46 @@ def repeated(rows: DataFrame, at: DataFrame, units: Units, length: int, gram: in
             open_ = np.flatnonzero(least)
             sizes, body = content(source, start[open_], count[open_])
             key = (fp[open_] % np.uint64(shards)).astype(np.int32)
-            meta = np.stack([fp[open_], inside[open_]], axis=1)
-            out += _pack(False, key, ids, text[open_], meta, first[open_], count[open_].astype(np.uint32), sizes, body)
+            sub = (fp[open_] >> np.uint64(32)).astype(np.uint32)
+            out += _pack(False, key, ids, text[open_], sub, first[open_], count[open_].astype(np.uint32), sizes, body)
             yield _rows(out, _SCHEMA)
 
     def meet(table: pa.Table) -> pa.Table:
         settled = table.filter(table.column("settled"))
         open_ = table.filter(pc.invert(table.column("settled")))
         d, th = _docs(open_)
-        meta = _array("a", open_, np.uint64).reshape(-1, 2)
+        sub = _array("a", open_, np.uint32)
         first, count = _array("b", open_, np.uint32).astype(np.int64), _array("c", open_, np.uint32).astype(np.int64)
         body = _array("body", open_, np.uint8)
-        size, _ = content_sizes(count)
+        size = content_sizes(count)
         begin = np.cumsum(size) - size
-        _, group, n = _classes(meta[:, 0], meta[:, 1])
+        inside = _content_hashes(body, begin, size)
+        _, group, n = _classes(sub, inside)
         low = _least(group, n, d)
         rep = np.full(n, -1, np.int64)
         rep[group[::-1]] = np.arange(len(group))[::-1]
         # Anchors with one content need no comparison; the contents of the others are compared window by window.
-        of_anchor = np.unique(meta[rep, 0], return_inverse=True)[1] if n else np.zeros(0, np.int64)
+        of_anchor = np.unique(sub[rep], return_inverse=True)[1] if n else np.zeros(0, np.int64)
         mixed = np.flatnonzero(np.bincount(of_anchor, minlength=1)[of_anchor] > 1) if n else np.zeros(0, np.int64)
         windows = count[rep] if n else np.zeros(0, np.int64)
         least = np.repeat(low, windows)
-        if len(mixed):
-            part = body[_spans(begin[rep[mixed]], size[rep[mixed]])]
-            cls = method(part, size[rep[mixed]], windows[mixed])
-            own = np.repeat(low[mixed], windows[mixed])
-            best = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max, np.int64)
-            np.minimum.at(best, cls, own)
-            least[_spans((np.cumsum(windows) - windows)[mixed], windows[mixed])] = best[cls]
         at_window = np.cumsum(windows) - windows
+        # Some anchors at a time, all contents of an anchor together.
+        mixed = mixed[np.argsort(of_anchor[mixed], kind="stable")]
+        bounds = np.flatnonzero(np.diff(of_anchor[mixed], prepend=-1))
+        total = np.concatenate([[0], np.cumsum(size[rep[mixed]])])
+        i = 0
+        while i < len(mixed):
+            ahead = bounds[(bounds > i) & (total[bounds] - total[i] <= PART)]
+            after = bounds[bounds > i]
+            j = int(ahead[-1] if len(ahead) else after[0] if len(after) else len(mixed))
+            if total[-1] - total[i] <= PART:
+                j = len(mixed)
+            some, i = mixed[i:j], j
+            cls = method(body[_spans(begin[rep[some]], size[rep[some]])], size[rep[some]], windows[some])
+            best = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max, np.int64)
+            np.minimum.at(best, cls, np.repeat(low[some], windows[some]))
+            least[_spans(at_window[some], windows[some])] = best[cls]
         each = _spans(at_window[group], count)
         entry = np.repeat(np.arange(len(d)), count)
         hit = least[each] < d[entry]
@@ -277,10 +300,10 @@ def repeated(rows: DataFrame, at: DataFrame, units: Units, length: int, gram: in
         sb, sc = _array("b", settled, np.uint32), _array("c", settled, np.uint32)
         return pa.table({"d": np.concatenate([d[entry[i]], sd]), "th": np.concatenate([th[entry[i]], sth]), "start": np.concatenate([place[i], sb]).astype(np.int32), "n": np.concatenate([j - i + 1, sc]).astype(np.int32)})
 
-    def content_sizes(count: np.ndarray):
+    def content_sizes(count: np.ndarray) -> np.ndarray:
         probe = content(np.zeros(length, np.uint8 if units is byte_units else np.uint64), np.zeros(1, np.int64), np.ones(1, np.int64))
         one = int(probe[0][0])
-        return (count + one - 1 if units is byte_units else one * count), None
+        return count + one - 1 if units is byte_units else one * count
 
     return map_arrow(joined, send, PACKED).groupBy("shard").applyInArrow(meet, "d long, th long, start int, n int")
 
