@@ -12,14 +12,12 @@ is the one shingle). Documents link when 100 * shared >= percent * all shingles
    (band, word place, word value) keys one agrees among the first allowed(n) + 1 of either document. The order is by how
    frequent a key is: a fixed-size count sketch over all documents tells it, and any error in it is harmless.
    Documents with too few such words can only miss each other, and share a key of their own.
-4. Documents that share a key are candidates. Each is paired with the least document of its key, and the pair with most
-   keys is verified; if it links, that document is the other's pivot. Two documents of a key that are in different
-   components then are compared by their pivots first: sets around two pivots differ by at least the pivots' difference
-   less both distances, so most pairs fall with one comparison of pivots, and the rest are verified themselves.
-   Verification makes both sets from the texts and counts.
+4. Documents that share a key are candidates, if they are not known to be connected (a first round over few keys finds
+   most links) and if sketches of about one bit a shingle are no farther apart than the two sets may be. Those left are
+   verified: both sets are made from the texts and counted.
 
-Keys that very many documents have are grouped by the engine's own aggregation and joins (spread over tasks); the others
-travel packed and are grouped in shards whose size follows the number of shuffle partitions.
+Keys travel packed, some of a band to a shard, with the sketch of each of the shard's documents once. A key that very many
+documents have is told once for each pair of blocks of them, so no group grows beyond two blocks.
 
 Defined cases: null or wordless text has an empty set, links with nothing and is its own component; a row without id takes
 part in nothing and has a null component; rows that repeat an id are one node with all their links.
@@ -31,18 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
-from lodestar.llm.common import components, cut, map_arrow, sub_batches, table, tasks, text_bytes
+from lodestar.llm.common import components, cut, map_arrow, squeeze, sub_batches, table, tasks, text_bytes, unsqueezed
 from lodestar.llm.native import small
 
 BATCH = 1 << 21
 CELLS = 1 << 20  # of the count sketch
 BLOCK = 1 << 16
-HOT = 20_000  # documents of a key from which on it is grouped by aggregation
+HOT = 20_000  # documents of a key from which on it is told by blocks
+SOME = 6  # keys of a sketch in the first round
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +73,21 @@ def allowed(n: np.ndarray, percent: int) -> np.ndarray:
     return n * (100 - percent) // percent
 
 
+def words_of(k: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketch by which documents of band k are compared: about as many bits as shingles."""
+    return np.maximum(1, 2 ** (np.asarray(k, np.int64) + 1) // 64)
+
+
+def bits(sets: np.ndarray, begin: np.ndarray, which: np.ndarray, width: int) -> np.ndarray:
+    """Parity sketches of the texts in `which`: a row of `width` words each; every shingle toggles one bit."""
+    m = (begin[which + 1] - begin[which]).astype(np.int64)
+    idx = np.repeat(begin[which] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+    at = (sets[idx] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    at = (at * np.uint64(64 * width)) >> np.uint64(32)
+    count = np.bincount(np.repeat(np.arange(len(which)), m) * 64 * width + at.astype(np.int64), minlength=len(which) * 64 * width)
+    return np.packbits((count & 1).astype(np.uint8).reshape(len(which), -1), axis=1, bitorder="little").view(np.uint64)
+
+
 def keys(sets: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sketch, key, few) of all words that are not zero of all sketches, 56 bits a key. The sketches of text i are 2 * i and,
     in the next band, 2 * i + 1; few marks the key that those with too few words share."""
@@ -165,78 +178,159 @@ def _frequency(profile: DataFrame, cells: int) -> bytes:
     return out.tobytes()
 
 
+def _sample(rows: DataFrame, size: int, percent: int, per: int) -> DataFrame:
+    """(key, d): the `per` least keys of each sketch, by hash alone; equal sets of a batch once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text", BATCH):
+            sets, begin = shingles(*text_bytes(batch.column("text")), size)
+            d = batch.column("d").to_numpy(zero_copy_only=False)
+            sketch, key, few = keys(sets, begin, percent)
+            keep = _leaders(sets, begin, d)[0][sketch // 2]
+            order = np.argsort(sketch[keep], kind="stable")
+            text, key = _first_keys(sketch[keep][order], key[keep][order], few[keep][order], np.full(len(d), per - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d[text])], names=["key", "d"])
+
+    return map_arrow(rows.select("d", "text"), run, "key long, d long")
+
+
+def _leaders(sets: np.ndarray, begin: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is the least id of those with an equal set, hash of the set) of each text."""
+    n = np.diff(begin)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(H.mix(sets), dtype=np.uint64)])
+    same = H.mix((sums[begin[1:]] - sums[begin[:-1]]) + n.astype(np.uint64)).view(np.int64)
+    order = np.lexsort((d, same))
+    lead = np.zeros(len(d), bool)
+    lead[order] = np.concatenate([[True], same[order][1:] != same[order][:-1]])[: len(d)]
+    return lead, same
+
+
 def _candidates(rows: DataFrame, size: int, percent: int, frequency: bytes) -> DataFrame:
-    """Rows (kind, x, y, c): kind 1, pair x < y of leaders that share c keys of a shard, x the least of each; kind 2,
-    y is one of the documents of group x; kind 3, document y has key x, which very many have."""
-    shards, cells = tasks(rows), len(frequency)
-    packed = pa.schema([("shard", pa.int32()), ("hot", pa.bool_()), ("docs", pa.binary()), ("counts", pa.binary()), ("sub", pa.binary())])
-    hot_from = int(8 * np.log2(1 + HOT))
+    """(a, b) with a < b: leaders of different components that share a key and whose sketches are near enough to link.
+    rows: d, text, c (component so far). A shard has some keys of one band, and each of its documents' sketches once."""
+    cells = len(frequency)
+    parts = max(1, tasks(rows) // 8)
+    packed = pa.schema([("shard", pa.int32()), ("docs", pa.binary()), ("sketches", pa.binary()), ("counts", pa.binary()), ("sub", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = np.frombuffer(frequency, np.uint8)
         for batch in sub_batches(batches, "text", BATCH):
             sets, begin = shingles(*text_bytes(batch.column("text")), size)
             n = np.diff(begin)
-            d = batch.column("d").to_numpy(zero_copy_only=False)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(H.mix(sets), dtype=np.uint64)])
-            same = H.mix((sums[begin[1:]] - sums[begin[:-1]]) + n.astype(np.uint64)).view(np.int64)
-            # Of equal sets in this batch the least id goes on.
-            order = np.lexsort((d, same))
-            lead = np.zeros(len(d), bool)
-            lead[order] = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+            d, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("d", "c"))
+            lead, same = _leaders(sets, begin, d)
             sketch, key, few = keys(sets, begin, percent)
             used = lead[sketch // 2]
             sketch, key, few = sketch[used], key[used], few[used]
             full = (freq[(key % np.uint64(cells)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | key
-            order = np.argsort(sketch, kind="stable")
-            chosen_text, chosen = _first_keys(sketch[order], full[order], few[order], allowed(n, percent))
-            is_hot = (chosen >> np.uint64(56)) >= hot_from
-            ids = np.stack([d, same], axis=1).astype(np.int64)
+            ids = np.stack([d, same, c, n], axis=1).astype(np.int64)
+            band = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
             out = []
-            for hot in (False, True):
-                at = np.flatnonzero(is_hot == hot)
-                shard = (chosen[at] % np.uint64(shards)).astype(np.int64) if not hot else chosen_text[at] % shards
-                sub = (chosen[at] // np.uint64(shards)) & np.uint64(0xFFFFFFFF) if not hot else chosen[at]
-                o = np.lexsort((chosen_text[at], shard))
-                if not len(o):
-                    continue
-                bounds = np.flatnonzero(np.diff(shard[o], prepend=-1))
-                for i, j in zip(bounds, [*bounds[1:], len(o)], strict=True):
-                    part = o[i:j]
-                    who, counts = np.unique(chosen_text[at][part], return_counts=True)
-                    out.append({"shard": int(shard[part[0]]), "hot": hot, "docs": ids[who].tobytes(), "counts": counts.astype(np.uint32).tobytes(), "sub": sub[part].astype(np.uint64 if hot else np.uint32).tobytes()})
+            for up in (0, 1):
+                for k in np.unique(band[lead & (n > 0)]):
+                    mine = ((sketch & 1) == up) & (band[sketch // 2] == k)
+                    order = np.argsort(sketch[mine], kind="stable")
+                    text, chosen = _first_keys(sketch[mine][order], full[mine][order], few[mine][order], allowed(n, percent))
+                    if not len(text):
+                        continue
+                    text, chosen = _blocked(text, chosen, same)
+                    width = int(words_of(k + up))
+                    part = (chosen % np.uint64(parts)).astype(np.int64)
+                    sub = ((chosen // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    order = np.lexsort((text, part))
+                    bounds = np.flatnonzero(np.diff(part[order], prepend=-1))
+                    for i, j in zip(bounds, [*bounds[1:], len(order)], strict=True):
+                        o = order[i:j]
+                        who, counts = np.unique(text[o], return_counts=True)
+                        out.append({"shard": int(k + up) * parts + int(part[o[0]]), "docs": squeeze(ids[who].T), "sketches": bits(sets, begin, who, width).tobytes(), "counts": squeeze(counts.astype(np.uint32)), "sub": sub[o].tobytes()})
             yield pa.RecordBatch.from_pylist(out, packed)
 
-    def unpack(t: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        col = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
-        ids = np.repeat(col("docs", np.int64).reshape(-1, 2), col("counts", np.uint32).astype(np.int64), axis=0)
-        return ids[:, 0], ids[:, 1], col("sub", dtype)
-
     def meet(t: pa.Table) -> pa.Table:
-        d, same, sub = unpack(t.filter(pc.invert(t.column("hot"))), np.uint32)
-        order = np.lexsort((d, same, sub))
-        d, same, sub = d[order], same[order], sub[order]
-        first = np.ones(len(d), bool)
-        first[1:] = (sub[1:] != sub[:-1]) | (same[1:] != same[:-1])
-        d, sub = d[first], sub[first]  # one of equal sets: their leader
-        new = np.ones(len(d), bool)
-        new[1:] = sub[1:] != sub[:-1]
-        group = np.cumsum(new) - 1
-        count = np.bincount(group) if len(d) else np.zeros(0, np.int64)
-        low = np.full(len(count), np.iinfo(np.int64).max)
-        np.minimum.at(low, group, d)
-        other = (d != low[group]) & (count[group] > 1)
-        pairs, times = np.unique(np.stack([low[group][other], d[other]], axis=1), axis=0, return_counts=True) if other.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-        # A group of three or more is told by the hash of its members, so that equal groups are one.
-        big = count[group] > 2
-        name = np.zeros(len(count), np.uint64)
-        np.add.at(name, group, H.mix(d.view(np.uint64)))
-        members = np.unique(np.stack([name[group][big].view(np.int64), d[big]], axis=1), axis=0) if big.any() else np.zeros((0, 2), np.int64)
-        hd, _, hkey = unpack(t.filter(t.column("hot")), np.uint64)
-        kind = np.repeat([1, 2, 3], [len(pairs), len(members), len(hd)])
-        return pa.table({"kind": kind.astype(np.int32), "x": np.concatenate([pairs[:, 0], members[:, 0], hkey.view(np.int64)]), "y": np.concatenate([pairs[:, 1], members[:, 1], hd]), "c": np.concatenate([times, np.ones(len(members) + len(hd), np.int64)])})
-
-    return map_arrow(rows.select("d", "text"), send, "shard int, hot boolean, docs binary, counts binary, sub binary").groupBy("shard").applyInArrow(meet, "kind int, x long, y long, c long")
+        width = int(words_of(t.column("shard")[0].as_py() // parts))
+        ids = np.concatenate([unsqueezed([x], np.int64).reshape(4, -1) for x in t.column("docs").to_pylist()], axis=1)
+        sketches = np.frombuffer(b"".join(t.column("sketches").to_pylist()), np.uint64).reshape(-1, width)
+        entry = np.repeat(np.arange(ids.shape[1]), unsqueezed(t.column("counts").to_pylist(), np.uint32).astype(np.int64))
+        sub = np.frombuffer(b"".join(t.column("sub").to_pylist()), np.uint32)
+        d, same, c, n = ids
+        order = np.lexsort((d, same))
+        lead = np.zeros(len(d), bool)
+        lead[order] = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+        used = lead[entry]
+        a, b = _pairs(sub[used], entry[used], c, n, sketches, percent)
+        x, y = np.minimum(d[a], d[b]), np.maximum(d[a], d[b])
+        return pa.table({"a": x, "b": y})
+
+    return map_arrow(rows.select("d", "c", "text"), send, "shard int, docs binary, sketches binary, counts binary, sub binary").groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _blocked(text: np.ndarray, full: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of very many documents: each document goes to a block, and the key is told once for each pair of blocks."""
+    hot = (full >> np.uint64(56)) >= int(8 * np.log2(1 + HOT))
+    if not hot.any():
+        return text, full
+    out_text, out = [text[~hot]], [full[~hot]]
+    for t, k in zip(text[hot].tolist(), full[hot], strict=True):
+        blocks = int(2 ** (int(k >> np.uint64(56)) / 8) // HOT) + 2
+        own, other = int(same[t]) % blocks, np.arange(blocks)
+        pair = np.minimum(own, other) * blocks + np.maximum(own, other)
+        out.append(H.mix(k + pair.astype(np.uint64)))
+        out_text.append(np.full(blocks, t))
+    return np.concatenate(out_text), np.concatenate(out)
+
+
+def _pairs(sub: np.ndarray, doc: np.ndarray, c: np.ndarray, n: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of documents that share a `sub`, differ in c, and may link by sizes and sketches."""
+    order = np.lexsort((doc, sub))
+    sub, doc = sub[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], sub[1:] != sub[:-1]])) if len(sub) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(sub)))
+    # Groups of one component have nothing left to find.
+    if len(first):
+        mixed = np.minimum.reduceat(c[doc], first) != np.maximum.reduceat(c[doc], first)
+        first, count = first[mixed], count[mixed]
+    found = np.zeros(0, np.int64)
+    total = len(c)
+
+    def test(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal found
+        near = (c[x] != c[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[near], y[near]
+        code = np.unique(np.minimum(x, y) * total + np.maximum(x, y))
+        x, y = code // total, code % total
+        apart = np.zeros(len(x), np.int64)
+        for w in range(sketches.shape[1]):
+            apart += np.bitwise_count(sketches[x, w] ^ sketches[y, w])
+        keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+        found = np.union1d(found, code[keep])
+
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def put(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal pending, size
+        pending.append((x, y))
+        size += len(x)
+        if size >= 1 << 20:
+            test(np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending]))
+            pending, size = [], 0
+
+    for k in np.unique(count):
+        at = first[count == k]
+        if k <= 24:
+            for i in range(k):
+                for j in range(i + 1, k):
+                    put(doc[at + i], doc[at + j])
+        else:
+            for f in at.tolist():
+                members = doc[f : f + k]
+                step = max(1, (1 << 20) // int(k))
+                for i in range(0, int(k), step):
+                    x, y = np.meshgrid(np.arange(i, min(i + step, int(k))), np.arange(int(k)), indexing="ij")
+                    up = x < y
+                    put(members[x[up]], members[y[up]])
+    if pending:
+        test(np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending]))
+    return found // max(total, 1), found % max(total, 1)
 
 
 def _first_keys(sketch: np.ndarray, full: np.ndarray, few: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,45 +383,15 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
     profile = cut(_profile(rows, size, percent, cells))
     docs = profile.where("block is null").select("d", "th", "n", "k1", "k2")
-    found = cut(_candidates(rows, size, percent, _frequency(profile, cells)))
-
-    hot = found.where("kind = 3").select("x", "y").distinct()
-    low = cut(hot.groupBy("x").agg(F.min("y").alias("a")))
-    stars = hot.join(low, "x").where("y <> a").select("a", F.col("y").alias("b"), F.lit(1).cast("long").alias("c"))
-    pairs = found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), "c").unionByName(stars)
-    pairs = cut(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")))
-    best = cut(pairs.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"))
-    first = cut(measured(best, rows, size))
-    links = first.where(linked(percent)).select("a", "b")
-    label = components(links)
-
-    # A document that links with the one it was paired with has that as its pivot, at a known distance (of sets).
-    near = first.where(linked(percent)).groupBy("b").agg(F.max("a").alias("pivot"), F.max(F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("r"), F.count(F.lit(1)).alias("k")).where("k = 1")
-    nodes = docs.groupBy("d").agg(F.max("n").alias("n")).join(near.select(F.col("b").alias("d"), "pivot", "r"), "d", "left").join(label.select(F.col("node").alias("d"), "component"), "d", "left")
-    nodes = cut(nodes.select("d", "n", F.coalesce("pivot", "d").alias("pivot"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("component", "d").alias("c")))
-    groups = cut(found.where("kind in (2, 3)").select(F.col("x").alias("g"), F.col("y").alias("d")).distinct().join(nodes.select("d", "pivot", "c"), "d"))
-    split = groups.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-    groups = cut(groups.join(small(cut(split)), "g"))
-    at = lambda side: nodes.select(F.col("d").alias(side), F.col("pivot").alias("p" + side), F.col("c").alias("c" + side))
-    rest = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select("a", "b", "pa", "pb")
-    rest = cut(rest.join(best, ["a", "b"], "left_anti"))
-
-    # Sets of documents around two pivots differ by at least the pivots' difference less both distances.
-    ball = groups.select("g", "pivot", "c").distinct()
-    ball = ball.select("g", F.col("pivot").alias("pa"), F.col("c").alias("ca")).join(ball.select("g", F.col("pivot").alias("pb"), F.col("c").alias("cb")), "g").where("pa < pb and ca <> cb").select("pa", "pb")
-    ball = cut(ball.unionByName(rest.select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"))).distinct())
-    radius = cut(nodes.groupBy("pivot").agg(F.max("r").alias("r"), F.max("n").alias("n")))
-    second = cut(measured(ball.select(F.col("pa").alias("a"), F.col("pb").alias("b")), rows, size))
-    links = links.unionByName(second.where(linked(percent)).select("a", "b"))
-    apart = second.groupBy("a", "b").agg(F.min(F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("apart"))
-    of = lambda side: radius.select(F.col("pivot").alias(side), F.col("r").alias("r" + side), F.col("n").alias("n" + side))
-    maybe = apart.join(of("a"), "a").join(of("b"), "b").where((100 + percent) * (F.col("apart") - F.col("ra") - F.col("rb")) <= (100 - percent) * (F.col("na") + F.col("nb")))
-    maybe = cut(maybe.select(F.col("a").alias("pa"), F.col("b").alias("pb")))
-    ends = cut(groups.join(small(cut(maybe.select(F.col("pa").alias("pivot")).unionByName(maybe.select(F.col("pb").alias("pivot"))).distinct())), "pivot"))
-    cross = ends.select("g", F.col("d").alias("x"), F.col("pivot").alias("px"), F.col("c").alias("cx")).join(ends.select("g", F.col("d").alias("y"), F.col("pivot").alias("py"), F.col("c").alias("cy")), "g").where("px < py and cx <> cy")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("px").alias("pa"), F.col("py").alias("pb"))
-    cross = cross.unionByName(rest.select("a", "b", F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"))).join(maybe, ["pa", "pb"]).select("a", "b")
-    more = cut(cross.distinct().join(best, ["a", "b"], "left_anti").join(second.select("a", "b"), ["a", "b"], "left_anti"))
+    # A first round from few keys finds most links; it only spares the second round pairs that are connected anyway.
+    some = cut(_sample(rows, size, percent, SOME))
+    stars = some.groupBy("key").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a <> z").select("key", "a")
+    stars = some.join(small(cut(stars)), "key").where("d <> a").groupBy("a", F.col("d").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    best = cut(stars.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"))
+    links = cut(measured(best, rows, size).where(linked(percent)).select("a", "b").distinct())
+    label = small(components(links).select(F.col("node").alias("d"), F.col("component").alias("c")))
+    known = rows.join(label, "d", "left").select("d", "text", F.coalesce("c", "d").alias("c"))
+    more = cut(_candidates(known, size, percent, _frequency(profile, cells)))
     links = links.unionByName(measured(more, rows, size).where(linked(percent)).select("a", "b"))
 
     equal = small(cut(docs.where("n > 0").groupBy("k1", "k2").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead <> last").select("k1", "k2", "lead")))
