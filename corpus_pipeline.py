@@ -1,10 +1,72 @@
-"""A corpus cleaning pipeline over `documents`, in stages that each read what the one before has written."""
+"""A corpus cleaning pipeline over `documents`.
+
+STAGES are applied in order; each reads, as Parquet, what the one before has written and keeps its columns:
+
+1. language: documents without an identifiable language go (no letter, or no labelled text to learn from);
+2. lines: chunks of lines that already stand in an earlier place are cut out of the texts;
+3. near duplicates: of each group of near duplicates the document with the least id stays;
+4. benchmark: documents that hold a window of a benchmark item go;
+5. pieces: the texts are encoded; the last stage returns ids and counts, and whether decoding gives the text back.
+
+A row without doc_id takes part in no group of near duplicates and stays. A document all of whose lines are cut out has
+an empty text and stays, too. Extra columns pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import decontaminate, jaccard_join, language_id, line_dedup, sentence_pieces
+from lodestar.llm.common import LAST_ID, shared_dir, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_id.identify(docs, language_id.sample(docs), prefix="__")
+    return found.where(F.col("__lang_pred") != language_id.UND).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # The operator's own columns get names of their own first, so that none of docs' can clash with them.
+    own = docs.select(*(F.col(c).alias(f"__{c}") for c in docs.columns))
+    found = line_dedup.dedup(own, id_col="__doc_id", text_col="__text")
+    kept = {"text": F.col("kept")} | ({"n_chars": F.when(F.col("n_removed_lines") > 0, F.length("kept")).otherwise(F.col("__n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select(*(kept.get(c, F.col(f"__{c}")).alias(c) for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard_join.classes(docs)
+    first = found.where(F.col("d") == F.col("component_id")).select(F.col("d").alias("__d"), F.col("th").alias("__th"))
+    rows = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    kept = rows.where(F.col("__d").isNotNull()).join(first, ["__d", "__th"], "left_semi")
+    return kept.unionByName(rows.where(F.col("__d").isNull())).select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hit = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))[1].select("d", "th").distinct()
+    rows = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return rows.join(hit.select(F.col("d").alias("__d"), F.col("th").alias("__th")), ["__d", "__th"], "left_anti").select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = sentence_pieces.encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", F.col("ids"), F.size("ids").cast("long").alias("n_ids"), F.col("exact").alias("round_trip"))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("pieces", pieces)]
+
+#: The suffix automata's phrases, and the merges of the piece model, are not SQL; tests compare with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
