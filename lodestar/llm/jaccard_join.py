@@ -40,7 +40,7 @@ BATCH = 1 << 21
 CELLS = 1 << 20  # of the count sketch
 BLOCK = 1 << 16
 HOT = 20_000  # documents of a key from which on it is told by blocks
-SOME = 6  # keys of a sketch in the first round
+SOME = 8  # keys of a sketch in the first round
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,49 +288,43 @@ def _pairs(sub: np.ndarray, doc: np.ndarray, c: np.ndarray, n: np.ndarray, sketc
     if len(first):
         mixed = np.minimum.reduceat(c[doc], first) != np.maximum.reduceat(c[doc], first)
         first, count = first[mixed], count[mixed]
-    found = np.zeros(0, np.int64)
     total = len(c)
-
-    def test(x: np.ndarray, y: np.ndarray) -> None:
-        nonlocal found
-        near = (c[x] != c[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-        x, y = x[near], y[near]
-        code = np.unique(np.minimum(x, y) * total + np.maximum(x, y))
-        x, y = code // total, code % total
-        apart = np.zeros(len(x), np.int64)
-        for w in range(sketches.shape[1]):
-            apart += np.bitwise_count(sketches[x, w] ^ sketches[y, w])
-        keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
-        found = np.union1d(found, code[keep])
-
-    pending: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def put(x: np.ndarray, y: np.ndarray) -> None:
-        nonlocal pending, size
-        pending.append((x, y))
-        size += len(x)
-        if size >= 1 << 20:
-            test(np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending]))
-            pending, size = [], 0
-
-    for k in np.unique(count):
+    found: list[np.ndarray] = [np.zeros(0, np.int64)]
+    width = sketches.shape[1]
+    for k in np.unique(count).tolist():
         at = first[count == k]
-        if k <= 24:
-            for i in range(k):
-                for j in range(i + 1, k):
-                    put(doc[at + i], doc[at + j])
-        else:
-            for f in at.tolist():
-                members = doc[f : f + k]
-                step = max(1, (1 << 20) // int(k))
-                for i in range(0, int(k), step):
-                    x, y = np.meshgrid(np.arange(i, min(i + step, int(k))), np.arange(int(k)), indexing="ij")
-                    up = x < y
-                    put(members[x[up]], members[y[up]])
-    if pending:
-        test(np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending]))
-    return found // max(total, 1), found % max(total, 1)
+        # Some groups of one size at a time, so that a matrix of all pairs has a million entries or so.
+        some = max(1, (1 << 20) // (k * k))
+        for g in range(0, len(at), some):
+            members = doc[at[g : g + some, None] + np.arange(k)]
+            for i in range(0, k, max(1, (1 << 20) // k)):
+                left = members[:, i : i + max(1, (1 << 20) // k)]
+                x, y = n[left][:, :, None], n[members][:, None, :]
+                most = (100 - percent) * (x + y) // (100 + percent)
+                near = (left[:, :, None] < members[:, None, :]) & (c[left][:, :, None] != c[members][:, None, :])
+                near &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+                p, u, v = np.nonzero(near)
+                if not len(p):
+                    continue
+                if 4 * len(p) < near.size:
+                    # Few are left: only these are compared.
+                    q, r = left[p, u], members[p, v]
+                    apart = np.zeros(len(q), np.int32)
+                    for w in range(width):
+                        apart += np.bitwise_count(sketches[q, w] ^ sketches[r, w])
+                    keep = apart <= most[p, u, v]
+                    q, r = q[keep], r[keep]
+                else:
+                    apart = np.zeros(near.shape, np.uint16 if 64 * width < 1 << 16 else np.uint32)
+                    for w in range(width):
+                        apart += np.bitwise_count(sketches[left, w][:, :, None] ^ sketches[members, w][:, None, :])
+                    p, u, v = np.nonzero(near & (apart <= most))
+                    q, r = left[p, u], members[p, v]
+                found.append(q.astype(np.int64) * total + r)
+        if sum(map(len, found)) > 1 << 20:
+            found = [np.unique(np.concatenate(found))]
+    out = np.unique(np.concatenate(found))
+    return out // max(total, 1), out % max(total, 1)
 
 
 def _first_keys(sketch: np.ndarray, full: np.ndarray, few: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -385,8 +379,12 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     docs = profile.where("block is null").select("d", "th", "n", "k1", "k2")
     # A first round from few keys finds most links; it only spares the second round pairs that are connected anyway.
     some = cut(_sample(rows, size, percent, SOME))
-    stars = some.groupBy("key").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a <> z").select("key", "a")
-    stars = some.join(small(cut(stars)), "key").where("d <> a").groupBy("a", F.col("d").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    # The center of a key is the document that shares its keys most widely: of edited copies, the one edited least.
+    shared = small(cut(some.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")))
+    some = cut(some.join(shared, "key"))
+    some = cut(some.select("key", "d").join(some.groupBy("d").agg(F.sum("m").alias("m")), "d"))
+    center = small(cut(some.groupBy("key").agg(F.max(F.struct("m", (-F.col("d")).alias("a"))).alias("t")).select("key", (-F.col("t.a")).alias("a"))))
+    stars = some.join(center, "key").where("d <> a").groupBy("a", F.col("d").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     best = cut(stars.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"))
     links = cut(measured(best, rows, size).where(linked(percent)).select("a", "b").distinct())
     label = small(components(links).select(F.col("node").alias("d"), F.col("component").alias("c")))

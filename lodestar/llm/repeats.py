@@ -31,7 +31,7 @@ from lodestar.llm.native import keyed
 #: Units of a batch: the value of each, where each text's begin, and what windows' contents are cut from.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 SHARDS = 1  # a shuffle partition
-PART = 1 << 21  # bytes of contents that a shard compares at a time, if no anchor has more
+PART = 1 << 19  # bytes of contents that a shard compares at a time, if no anchor has more
 PACKED = "shard int, settled boolean, docs binary, counts binary, a binary, b binary, c binary, body binary"
 
 

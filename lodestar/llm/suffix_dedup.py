@@ -23,7 +23,7 @@ from lodestar.llm import repeats
 from lodestar.llm.common import map_arrow, sub_batches, table, text_bytes
 from lodestar.llm.suffix_array import equal_windows
 
-BATCH = 1 << 21
+BATCH = 1 << 20
 
 
 def by_suffixes(length: int) -> repeats.Method:
