@@ -159,10 +159,10 @@ def q12_definition_by_id(ix):
 AT = "order by case when roles & 8 <> 0 then 0 else 1 end, start_line desc, o.id"
 
 
-@query(f"select symbol_id from ix_occurrences o join ix_documents d on d.id = file_id where relative_path = (select min(relative_path) from ix_documents where id % 12 = 11) and start_line <= 21 and end_line >= 21 {AT} limit 1")
+@query(f"select symbol_id from ix_occurrences o join ix_documents d on d.id = file_id where relative_path = (select min(relative_path) from ix_documents d join ix_occurrences o on d.id = file_id where start_line = 10 and end_line > 10) and start_line <= 11 and end_line >= 11 {AT} limit 1")
 def q13_symbol_at_position(ix):
-    path = ix.documents.where("id % 12 = 11").agg(F.min("relative_path")).first()[0]
-    return definition.at_position(ix, path, 21)
+    path = definition.covering(ix).where("start_line = 10 and end_line > 10").agg(F.min("relative_path")).first()[0]
+    return definition.at_position(ix, path, 11)
 
 
 PLACES = "select distinct relative_path, x.line from ix_documents, (select unnest([1, 5, 11, 21, 40]) as line) x"
