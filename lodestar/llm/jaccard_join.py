@@ -13,7 +13,7 @@ is the one shingle). Documents link when 100 * shared >= percent * all shingles
    frequent a key is: a fixed-size count sketch over all documents tells it, and any error in it is harmless.
    Documents with too few such words can only miss each other, and share a key of their own.
 4. Documents that share a key are candidates, if they are not known to be connected (a first round over few keys finds
-   most links) and if sketches of about one bit a shingle are no farther apart than the two sets may be. Those left are
+   most links) and if sketches of two to four bits a shingle are no farther apart than the two sets may be. Those left are
    verified: both sets are made from the texts and counted.
 
 Keys travel packed, some of a band to a shard, with the sketch of each of the shard's documents once. A key that very many
@@ -74,8 +74,8 @@ def allowed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def words_of(k: np.ndarray) -> np.ndarray:
-    """64-bit words of the sketch by which documents of band k are compared: about as many bits as shingles."""
-    return np.maximum(1, 2 ** (np.asarray(k, np.int64) + 1) // 64)
+    """64-bit words of the sketch by which documents of band k are compared: two to four bits a shingle."""
+    return np.maximum(1, 2 ** (np.asarray(k, np.int64) + 2) // 64)
 
 
 def bits(sets: np.ndarray, begin: np.ndarray, which: np.ndarray, width: int) -> np.ndarray:
@@ -209,7 +209,7 @@ def _candidates(rows: DataFrame, size: int, percent: int, frequency: bytes) -> D
     """(a, b) with a < b: leaders of different components that share a key and whose sketches are near enough to link.
     rows: d, text, c (component so far). A shard has some keys of one band, and each of its documents' sketches once."""
     cells = len(frequency)
-    parts = max(1, tasks(rows) // 8)
+    parts = max(1, tasks(rows) // 16)
     packed = pa.schema([("shard", pa.int32()), ("docs", pa.binary()), ("sketches", pa.binary()), ("counts", pa.binary()), ("sub", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
