@@ -1,9 +1,11 @@
 """Embedding near-dedup by cover trees and their dual traversal.
 
 Vectors are compared within a label by cosine; on the unit sphere cosine >= c means a distance of at most
-r = sqrt(2 - 2 c). The top of each label's cover tree comes from a bounded sample of vectors (`sample`, a parameter): its
-nodes are at least `top` apart and cut space into cells. Every vector goes to the cell of its nearest node, and as a guest
-to each other cell in which a vector within r may have its home. A pair is found in the home cell of its lesser id.
+r = sqrt(2 - 2 c). The top of each label's cover tree comes from a bounded sample of vectors (`sample`, a parameter); the
+nodes of one of its levels, the one that costs least, cut space into cells (a single one, where vectors lie so far apart
+from each other that cells would only repeat them).
+Every vector goes to the cell of its nearest node, and as a guest to each other cell in which a vector within r may have
+its home. A pair is counted for each of the two in its own home cell.
 
 A cell with more than `block` vectors is dealt in blocks and each pair of blocks is a task, so no task has more than two
 blocks. Within a task, cover trees (nested levels, radii halved from level to level, every vector within the level's
@@ -21,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ class Tree:
     """Levels of nodes over the rows of x. Level 0 is one node; each level's nodes are rows at least its radius apart,
     among them all nodes of the level before."""
 
-    def __init__(self, x: np.ndarray, leaf: int = 16):
+    def __init__(self, x: np.ndarray, leaf: int = 128):
         self.x, self.leaf = x, leaf
         rows = np.arange(len(x))
         far = float(np.sqrt(np.maximum(0, 2 - 2 * x @ x[0])).max()) if len(x) else 0.0
@@ -63,7 +64,7 @@ class Tree:
             owner[d < near] = len(centers)
             near = np.minimum(near, d)
             centers.append(int(rows[i]))
-            if len(centers) * self.leaf > 4 * len(rows):
+            if len(centers) * self.leaf > 2 * len(rows):
                 break  # rows lie apart from each other: they are leaves of their own
         if len(centers) == 1:
             if step <= TINY:
@@ -131,24 +132,61 @@ def _leaf(left, right, prows, qrows, cosine, links, sides, join, one: bool) -> N
         links[prows] += hit.sum(axis=1)
         np.add.at(sides, qrows, hit.sum(axis=0))
     i, j = np.nonzero(hit)
-    join(prows[i], qrows[j])
+    if len(i):
+        join(prows[i], qrows[j])
 
 
 def _units(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(id, label, dim, x array<double>) of the rows that can link; x of length 1."""
-    x = F.transform(F.col(vec_col), lambda v: v.cast("double"))
-    rows = df.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), x.alias("x"))
-    good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    biggest = F.array_max(F.transform("x", lambda v: F.abs(v)))
-    rows = rows.where((F.size("x") > 0) & good).withColumn("m", biggest).where("m > 0")
-    # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    rows = rows.withColumn("x", F.transform("x", lambda v: v / F.col("m")))
-    rows = rows.withColumn("m", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
-    return rows.select("id", F.concat_ws("/", "label", F.size("x").cast("string")).alias("label"), F.transform("x", lambda v: v / F.col("m")).alias("x"))
-
-
-def _pivots(units: DataFrame, sample: int, top: float, most: int) -> dict[str, np.ndarray]:
-    """Nodes of the top of each label's tree: rows of a sample of about `sample` vectors, at least `top` apart."""
+    """(id, label, x array<double>) of the rows that can link; x of length 1, label with the number of components."""
+    rows = df.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vec_col).isNotNull())
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("x"))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, labels, lists = batch.column("id").to_numpy(zero_copy_only=False), np.array(batch.column("label").to_pylist(), object), batch.column("x")
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False)  # a null component becomes NaN
+            size = np.diff(offsets)
+            for dim in np.unique(size[size > 0]).tolist():
+                at = np.flatnonzero(size == dim)
+                x = values[offsets[at][:, None] + np.arange(dim)]
+                top = np.abs(x).max(axis=1)
+                good = np.isfinite(x).all(axis=1) & (top > 0)
+                # Scaled by the largest component first, so that squares neither overflow nor vanish.
+                x = x[good] / top[good][:, None]
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at][good]), pa.array([f"{t}/{dim}" for t in labels[at][good]], pa.string()), _lists(x)], ["id", "label", "x"])
+
+    return map_arrow(rows, clean, "id long, label string, x array<double>")
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    n, dim = x.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(x.ravel()))
+
+
+def _matrix(lists: pa.Array, rows: int) -> np.ndarray:
+    return lists.flatten().to_numpy().reshape(rows, -1)
+
+
+def _reach(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell of each row, rows x cells: whether a vector within radius of the row may have its home there)."""
+    d = 2.0 - 2.0 * (x @ p.T)
+    home = d.argmin(axis=1)
+    near = d[np.arange(len(x)), home]
+    # A partner has its home at p only if p is nearer to it than this home is: by distance from the plane between them.
+    between = np.sqrt(np.maximum(1e-300, 2.0 - 2.0 * np.minimum(1.0, p @ p.T)))[home]
+    reach = (d - near[:, None]) / (2 * between) <= radius + 1e-7
+    reach[np.arange(len(x)), home] = True
+    return home, reach
+
+
+def _pivots(units: DataFrame, sample: int, most: int, radius: float) -> dict[str, np.ndarray]:
+    """For each label, the nodes of that level of its tree's top whose cells cost least.
+
+    The tree is one of a sample of about `sample` vectors: farthest points first, so that each level's nodes, with radii
+    halved from level to level, begin the next one's. With p cells in which a vector is g times, the work is as g * g / p.
+    """
     total = units.count()
     if not total:
         return {}
@@ -157,41 +195,36 @@ def _pivots(units: DataFrame, sample: int, top: float, most: int) -> dict[str, n
     out = {}
     for label, rows in chosen.groupby("label"):
         x = np.stack(rows["x"].to_numpy())
-        centers, near = [0], _distance(x, x[0])
-        while near.max() >= top and len(centers) < most:
+        centers, apart, near = [0], [2.0], _distance(x, x[0])
+        while near.max() > radius and len(centers) < most:
             centers.append(int(near.argmax()))
+            apart.append(float(near.max()))
             near = np.minimum(near, _distance(x, x[centers[-1]]))
-        out[label] = x[centers]
+        best, level = 1.0, 1
+        for n in sorted({sum(a > 2.0 / 2**k for a in apart) for k in range(1, 12)} | {len(centers)}):
+            if n > 1:
+                g = _reach(x, x[centers[:n]], radius)[1].sum() / len(x)
+                if g * g / n < 0.9 * best:
+                    best, level = g * g / n, n
+        out[label] = x[centers[:level]]
     return out
 
 
-def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, sample: int = 4096, top: float = 0.5, most: int = 48, block: int = 384) -> tuple[DataFrame, DataFrame]:
+def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, sample: int = 4096, most: int = 64, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """((id, n) partners counted in each task, (a, b) connections) of all vectors."""
     radius = float(np.sqrt(2 - 2 * cosine))
     units = cut(_units(df, id_col, vec_col, label_col))
-    pivots = _pivots(units, sample, top, most)
+    pivots = _pivots(units, sample, most, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = batch.to_pandas()
-            out: list[pd.DataFrame] = []
-            for label, rows in frame.groupby("label"):
-                x = np.stack(rows["x"].to_numpy())
-                p = pivots.get(label)
-                if p is None:
-                    out.append(pd.DataFrame({"label": label, "cell": 0, "home": True, "id": rows["id"], "x": rows["x"]}))
-                    continue
-                d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ p.T)))
-                home = d.argmin(axis=1)
-                near = d[np.arange(len(x)), home]
-                # A partner y within r has its home at p only if p is nearer to y than home is: by the plane between them.
-                between = np.sqrt(np.maximum(1e-300, 2.0 - 2.0 * np.minimum(1.0, p @ p.T)))[home]
-                reach = (d**2 - near[:, None] ** 2) / (2 * between) <= radius + 1e-7
-                reach[np.arange(len(x)), home] = True
+            labels = np.array(batch.column("label").to_pylist(), object)
+            for label in sorted(set(labels)):
+                part = batch.filter(pa.array(labels == label))
+                x = _matrix(part.column("x"), part.num_rows)
+                home, reach = _reach(x, pivots.get(label, x[:1]), radius)
                 i, c = np.nonzero(reach)
-                out.append(pd.DataFrame({"label": label, "cell": c, "home": home[i] == c, "id": rows["id"].to_numpy()[i], "x": [rows["x"].to_numpy()[k] for k in i]}))
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.concat(out)[["label", "cell", "home", "id", "x"]], schema=dealt, preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(i), pa.string()), pa.array(c, pa.int32()), pa.array(home[i] == c), part.column("id").take(pa.array(i)), _lists(x[i])], schema=dealt)
 
     dealt = pa.schema([("label", pa.string()), ("cell", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()), ("x", pa.list_(pa.float64()))])
     cells = cut(map_arrow(units, deal, "label string, cell int, home boolean, id long, x array<double>"))
@@ -204,8 +237,7 @@ def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
     def meet(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         ids, home, own = (t.column(c).to_numpy() for c in ("id", "home", "own"))
-        x = t.column("x").combine_chunks()
-        x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(len(ids), -1)
+        x = _matrix(pa.concat_arrays(t.column("x").chunks), len(ids))
         # Equal ids are one node: a pair is counted at the home of its lesser id, each row once.
         order = np.lexsort((~home, ids))
         ids, home, own, x = ids[order], home[order], own[order], x[order]

@@ -406,9 +406,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """df's rows with n_shingles and component_id added (null for a row without id)."""
+    """df's rows with n_shingles and component_id added (null for a row without id), in place of columns so named."""
     found = classes(df, id_col=id_col, text_col=text_col, size=size, percent=percent)
-    rows = df.withColumns({"__d": F.col(id_col).cast("long"), "__th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    rows = df.drop("n_shingles", "component_id").withColumns({"__d": F.col(id_col).cast("long"), "__th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     return rows.join(found.select(F.col("d").alias("__d"), F.col("th").alias("__th"), "n_shingles", "component_id"), ["__d", "__th"], "left").drop("__d", "__th")
 
 

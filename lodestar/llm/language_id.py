@@ -122,7 +122,7 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
 class Parser:
     """Phrase counts of many texts against each language."""
 
-    def __init__(self, texts: dict[str, str], block: int = 2048):
+    def __init__(self, texts: dict[str, str], block: int = 1024):
         self.langs, self.block = list(texts), block
         own = {k: _letters()[_points(v)] for k, v in texts.items()}
         alphabet = np.unique(np.concatenate([*own.values(), np.zeros(1, np.uint32)]))
@@ -199,15 +199,17 @@ def _parser(texts: dict[str, str], block: int) -> Parser:
     return _parsers[key]
 
 
-def identify(df: DataFrame, texts: dict[str, str], *, text_col: str = "text", block: int = 2048, prefix: str = "") -> DataFrame:
-    """df with lang_pred, score and bits (a symbol) added; texts: labelled text for each language, from sample()."""
+def identify(df: DataFrame, texts: dict[str, str], *, text_col: str = "text", block: int = 1024, prefix: str = "") -> DataFrame:
+    """df with lang_pred, score and bits (a symbol) added, in place of columns so named; texts: labelled text for each
+    language, from sample()."""
+    df = df.drop(*(prefix + c for c in ("lang_pred", "score", "bits")))
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     out = StructType([*df.schema.fields, StructField(prefix + "lang_pred", StringType()), StructField(prefix + "score", DoubleType()), StructField(prefix + "bits", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(texts, block)
-        for batch in sub_batches(batches, text_col, 1 << 22):
+        for batch in sub_batches(batches, text_col, 1 << 21):
             found = parser.predict([x or "" for x in batch.column(text_col).to_pylist()])
             arrays = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [f.name for f in out.fields])

@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, table
+from lodestar.llm.common import LAST_ID, cut, table
 from lodestar.llm.native import keyed, let, small
 
+ADDED = ("kept", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 WINDOW = 2
 FACTOR = 31
 
@@ -43,7 +44,7 @@ def chunks(lines: Column, divisor: int) -> Column:
 
 
 def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = 3, least: int = 2) -> DataFrame:
-    """df's rows with kept (the text that stays), n_lines, n_chunks, n_removed_chunks and n_removed_lines added."""
+    """df's rows with kept (the text that stays), n_lines, n_chunks, n_removed_chunks and n_removed_lines added (in place of columns so named)."""
     lines = F.split("text", "\n", -1)
     rows = keyed(df, id_col, text_col)
     cs = rows.select("d", "th", "text", lines.alias("lines")).select("d", "th", "lines", F.explode(F.filter(chunks(F.col("lines"), divisor), lambda c: c["n"] >= least)).alias("c"))
@@ -51,11 +52,11 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divi
     place = F.struct("d", "th", "at")
     twice = cs.select(F.xxhash64("bytes").alias("h"), place.alias("p")).groupBy("h").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("h")
     again = cut(cs.withColumn("h", F.xxhash64("bytes")).join(small(cut(twice)), "h", "left_semi").drop("h"))
-    first = again.groupBy("bytes").agg(F.min(place).alias("first"))
+    first = small(cut(again.groupBy("bytes").agg(F.min(place).alias("first"))), 20_000)
     out = again.join(first, "bytes").where(place != F.col("first")).groupBy("d", "th").agg(F.collect_set(F.struct("at", "n")).alias("out"))
 
-    extra = [c for c in df.columns]
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__th"), F.struct(*(F.col(c) for c in extra)).alias("__row"))
+    extra = [c for c in df.columns if c in (id_col, text_col) or c not in ADDED]
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("__d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__th"), F.struct(*(F.col(c) for c in extra)).alias("__row"))
     docs = docs.join(out.select(F.col("d").alias("__d"), F.col("th").alias("__th"), "out"), ["__d", "__th"], "left")
     own = F.split(F.coalesce(F.col(f"__row.{text_col}"), F.lit("")), "\n", -1)
     gone = lambda i: F.exists("out", lambda c: (c["at"] <= i + 1) & (i + 1 < c["at"] + c["n"]))

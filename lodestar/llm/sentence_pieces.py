@@ -277,7 +277,9 @@ def model(path: str) -> Model:
 
 
 def encode(df: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
-    """df with ids array<int> and decoded string (of those ids). path: a model file, readable on executors."""
+    """df with ids array<int>, decoded string (of those ids) and exact (decoding gives the text back) added, in place of
+    columns so named. path: a model file, readable on executors."""
+    df = df.drop("ids", "decoded", "exact")
     out = StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType()), StructField("exact", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
