@@ -89,19 +89,22 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component), component the least node id reachable; nodes without an edge are absent.
 
-    Alternating large and small stars over the edge list. Each round is a partially aggregated min per node and a
-    join of edges with nodes, so a node with very many neighbours is spread by the map-side minimum and by the
-    adaptive skew join. Rounds end when the edge set no longer changes; each is cut in the shared folder.
+    Alternating large and small stars over the edge list. Each round is a partially aggregated min per node, written, and
+    a join of the edges with it: broadcast if it has few rows, else a shuffled join of two tables, whose hot nodes the
+    adaptive skew join splits. Rounds end when the edge set no longer changes.
     """
+    from lodestar.llm.native import small
+
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
     e, seen = cut(e), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = small(cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        large = cut(large)
+        low = small(cut(large.groupBy("u").agg(F.min("v").alias("m"))))
+        near = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = cut(near.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

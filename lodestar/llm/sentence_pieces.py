@@ -31,7 +31,8 @@ from lodestar.llm.common import map_arrow, sub_batches, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model file
-PAIR = (2,)  # lengths to try, longest first, for a tail that no longer piece ends in
+HEAD = 7  # characters over which texts that begin alike share their steps
+PAIR = (2,)  # lengths to try, longest first, for a tail in which no longer piece ends
 MEMO = 1_000_000  # words whose ids a worker keeps, some 200 MB; the memo starts anew beyond that
 
 
@@ -66,6 +67,7 @@ class Model:
         self.crosses = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.heads: dict[str, tuple[str, ...]] = {}
         self.low = min(self.score) - 10.0
 
     def _merge(self, parts: list[str]) -> list[str]:
@@ -190,12 +192,37 @@ class Stream:
         return self.feed(text) + self.close()
 
     def _at_once(self, text: str) -> list[int]:
-        """A text within one window: the same steps as feed() takes, without commits between."""
+        """A text within one window: the same steps as feed() takes, without commits between. A path depends on what is
+        before it alone, so texts that begin alike share the steps over their first characters."""
+        m = self.m
+        if len(text) > HEAD:
+            known = m.heads.get(text[:HEAD])
+            if known is None:
+                if len(m.heads) >= MEMO:
+                    m.heads.clear()
+                known = m.heads[text[:HEAD]] = tuple(self._survivors(text[:HEAD], [""]))
+            last = self._survivors(text, list(known))
+        else:
+            last = self._survivors(text, [""])
+        ids = m.ids
+        out: list[int] = []
+        i = len(text)
+        while i:
+            piece = last[i]
+            k = ids.get(piece)
+            if k is None:
+                out += m.units(piece)[::-1]
+            else:
+                out.append(k)
+            i -= len(piece)
+        return out[::-1]
+
+    def _survivors(self, text: str, last: list[str]) -> list[str]:
+        """last, up to the end of text."""
         m = self.m
         ids, pairs, fits, tails = m.ids, m.pairs, m.fits, m.tails.get
-        last = [""]
         put = last.append
-        for i in range(1, len(text) + 1):
+        for i in range(len(last), len(text) + 1):
             found = text[i - 1]
             for n in tails(text[i - 3 : i], PAIR) if i > 2 else PAIR[: i - 1]:
                 if n <= i:
@@ -207,17 +234,7 @@ class Stream:
                             found = piece
                             break
             put(found)
-        out: list[int] = []
-        i = len(text)
-        while i:
-            piece = last[i]
-            k = ids.get(piece)
-            if k is None:
-                out += m.units(piece)[::-1]
-            else:
-                out.append(k)
-            i -= len(piece)
-        return out[::-1]
+        return last
 
     def _step(self, i: int) -> None:
         """The last piece of the path that survives at position i."""
