@@ -73,32 +73,3 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
         data = np.where((data >= 65) & (data <= 90), data + 32, data)
     hashes = ranges(prefix(BYTES[data]), start, end) if len(start) else np.zeros(0, np.uint64)
     return start, end, hashes, np.searchsorted(start, offsets)
-
-
-def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
-    """The least of each `span` values in a row."""
-    out, have = values, 1
-    while have < span:
-        step = min(have, span - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
-        have += step
-    return out
-
-
-def anchors(values: np.ndarray, span: int) -> np.ndarray:
-    """Places of the values that are least in some run of `span` values (all equal ones), in order."""
-    if len(values) < span:
-        return np.zeros(0, np.int64)
-    low = sliding_min(values, span)
-    # values[i] is an anchor if it equals the minimum of one of the runs it is in.
-    top = np.zeros(len(values), bool)
-    padded = np.full(len(values) + span - 1, np.uint64(0), values.dtype)
-    padded[span - 1 : span - 1 + len(low)] = low
-    # the greatest of the minima of the runs that hold i is values[i] exactly if i is an anchor
-    most, have = padded, 1
-    while have < span:
-        step = min(have, span - have)
-        most = np.maximum(most[: len(most) - step], most[step:])
-        have += step
-    top = most == values
-    return np.flatnonzero(top)
