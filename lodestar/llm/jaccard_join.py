@@ -291,36 +291,43 @@ def _pairs(sub: np.ndarray, doc: np.ndarray, c: np.ndarray, n: np.ndarray, sketc
     total = len(c)
     found: list[np.ndarray] = [np.zeros(0, np.int64)]
     width = sketches.shape[1]
+    early = -(-2 * width // 5)  # words after which sets with little in common are too far apart already
+    low, high, n = (100 * n).astype(np.int32), (percent * n).astype(np.int32), n.astype(np.int32)
+    c = np.unique(c, return_inverse=True)[1].astype(np.int32)
+
+    def rest(x: np.ndarray, y: np.ndarray, apart: np.ndarray, first: int) -> None:
+        """Compare the words from `first` on of few pairs."""
+        most = (100 - percent) * (n[x].astype(np.int64) + n[y]) // (100 + percent)
+        for w in range(first, width):
+            apart = apart + np.bitwise_count(sketches[x, w] ^ sketches[y, w])
+            if w + 1 == early:
+                near = apart <= most
+                x, y, apart, most = x[near], y[near], apart[near], most[near]
+        near = apart <= most
+        found.append(x[near].astype(np.int64) * total + y[near])
+
     for k in np.unique(count).tolist():
         at = first[count == k]
         # Some groups of one size at a time, so that a matrix of all pairs has a million entries or so.
-        some = max(1, (1 << 20) // (k * k))
+        some, part = max(1, (1 << 20) // (k * k)), max(1, (1 << 20) // k)
         for g in range(0, len(at), some):
-            members = doc[at[g : g + some, None] + np.arange(k)]
-            for i in range(0, k, max(1, (1 << 20) // k)):
-                left = members[:, i : i + max(1, (1 << 20) // k)]
-                x, y = n[left][:, :, None], n[members][:, None, :]
-                most = (100 - percent) * (x + y) // (100 + percent)
-                near = (left[:, :, None] < members[:, None, :]) & (c[left][:, :, None] != c[members][:, None, :])
-                near &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+            members = doc[at[g : g + some, None] + np.arange(k)]  # in order, so a pair is above the diagonal once
+            right = [v[members][:, None, :] for v in (low, high, c)]
+            for i in range(0, k, part):
+                left = members[:, i : i + part]
+                x = [v[left][:, :, None] for v in (low, high, c)]
+                near = (x[0] >= right[1]) & (right[0] >= x[1]) & (x[2] != right[2])
+                near &= np.arange(k)[None, None, :] > np.arange(i, i + left.shape[1])[None, :, None]
                 p, u, v = np.nonzero(near)
-                if not len(p):
-                    continue
                 if 4 * len(p) < near.size:
-                    # Few are left: only these are compared.
-                    q, r = left[p, u], members[p, v]
-                    apart = np.zeros(len(q), np.int32)
-                    for w in range(width):
-                        apart += np.bitwise_count(sketches[q, w] ^ sketches[r, w])
-                    keep = apart <= most[p, u, v]
-                    q, r = q[keep], r[keep]
-                else:
-                    apart = np.zeros(near.shape, np.uint16 if 64 * width < 1 << 16 else np.uint32)
-                    for w in range(width):
-                        apart += np.bitwise_count(sketches[left, w][:, :, None] ^ sketches[members, w][:, None, :])
-                    p, u, v = np.nonzero(near & (apart <= most))
-                    q, r = left[p, u], members[p, v]
-                found.append(q.astype(np.int64) * total + r)
+                    rest(left[p, u], members[p, v], np.zeros(len(p), np.int32), 0)
+                    continue
+                apart = np.zeros(near.shape, np.uint16 if 64 * width < 1 << 16 else np.uint32)
+                for w in range(early):
+                    apart += np.bitwise_count(sketches[left, w][:, :, None] ^ sketches[members, w][:, None, :])
+                near &= apart * np.int32(100 + percent) <= (100 - percent) * (n[left][:, :, None] + n[members][:, None, :])
+                p, u, v = np.nonzero(near)
+                rest(left[p, u], members[p, v], apart[p, u, v].astype(np.int32), early)
         if sum(map(len, found)) > 1 << 20:
             found = [np.unique(np.concatenate(found))]
     out = np.unique(np.concatenate(found))
