@@ -36,3 +36,25 @@ def test_long_member_lists_are_cut_short():
 
 def test_json_keeps_letters():
     assert "é" in render.to_json({"a": "é"})
+
+
+def test_messages(navigator):
+    import io
+
+    from lodestar.server import serve
+
+    ask = [
+        {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "x"}},
+        {"jsonrpc": "2.0", "method": "notifications/initialized"},
+        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
+        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "search_symbols", "arguments": {"query": "Mock"}}},
+        {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "search_symbols"}},
+        {"jsonrpc": "2.0", "id": 5, "method": "nothing"},
+    ]
+    out = io.StringIO()
+    serve(lambda: navigator, io.StringIO("\n".join(map(json.dumps, ask)) + "\n\nno json\n"), out)
+    said = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [x["id"] for x in said] == [1, 2, 3, 4, 5, None]
+    assert said[0]["result"]["protocolVersion"] == "x" and len(said[1]["result"]["tools"]) == 4
+    assert json.loads(said[2]["result"]["content"][0]["text"])["count"] == 1 and not said[2]["result"]["isError"]
+    assert said[3]["result"]["isError"] and "error" in said[4] and "error" in said[5]
