@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,8 +84,34 @@ def unsqueezed(parts: list[bytes | None], dtype) -> np.ndarray:
     return np.frombuffer(b"".join(_CODEC.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in parts if x), dtype=dtype)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+_holder: tuple[str, Callable[[], None]] | None = None
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Called where an operator's tasks begin: the caches that another operator's tasks have left in this worker go.
+
+    A worker serves one operator after another, so it should hold what one of them keeps, not all. drop empties the
+    caller's own caches."""
+    global _holder
+    if _holder and _holder[0] != name:
+        _holder[1]()
+        release()
+    _holder = (name, drop)
+
+
+def release() -> None:
+    """Give memory that is free in this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

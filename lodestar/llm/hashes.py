@@ -6,6 +6,7 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C55)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+KEPT = 1 << 22  # powers that a worker keeps
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -29,7 +30,9 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     if have is None or len(have) <= n:
         out = np.full(max(n, 1 << 16) + 1, base, np.uint64)
         out[0] = 1
-        have = _powers[int(base)] = np.cumprod(out, dtype=np.uint64)
+        have = np.cumprod(out, dtype=np.uint64)
+        if n <= KEPT:
+            _powers[int(base)] = have
     return have[: n + 1]
 
 

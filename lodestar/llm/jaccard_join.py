@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
-from lodestar.llm.common import components, cut, map_arrow, squeeze, sub_batches, table, tasks, text_bytes, unsqueezed
+from lodestar.llm.common import components, cut, hold, map_arrow, release, squeeze, sub_batches, table, tasks, text_bytes, unsqueezed
 from lodestar.llm.native import small
 
 BATCH = 1 << 21
@@ -130,6 +130,7 @@ def _profile(rows: DataFrame, size: int, percent: int, cells: int) -> DataFrame:
     schema = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("hashes", H._powers.clear)
         counts, salt = np.zeros(cells, np.uint32), 0
         for batch in sub_batches(batches, "text", BATCH):
             sets, begin = shingles(*text_bytes(batch.column("text")), size)
@@ -257,6 +258,8 @@ def _candidates(rows: DataFrame, size: int, percent: int, frequency: bytes) -> D
         lead[order] = np.concatenate([[True], same[order][1:] != same[order][:-1]])
         used = lead[entry]
         a, b = _pairs(sub[used], entry[used], c, n, sketches, percent)
+        del sketches, entry, sub, used
+        release()
         x, y = np.minimum(d[a], d[b]), np.maximum(d[a], d[b])
         return pa.table({"a": x, "b": y})
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_arrow, sub_batches, table
+from lodestar.llm.common import hold, map_arrow, sub_batches, table
 
 UND = "und"
 SEPARATOR, UNSEEN = 0, 1
@@ -199,6 +199,10 @@ def _parser(texts: dict[str, str], block: int) -> Parser:
     return _parsers[key]
 
 
+def _forget() -> None:
+    _parsers.clear()
+
+
 def identify(df: DataFrame, texts: dict[str, str], *, text_col: str = "text", block: int = 1024, prefix: str = "") -> DataFrame:
     """df with lang_pred, score and bits (a symbol) added, in place of columns so named; texts: labelled text for each
     language, from sample()."""
@@ -208,6 +212,7 @@ def identify(df: DataFrame, texts: dict[str, str], *, text_col: str = "text", bl
     out = StructType([*df.schema.fields, StructField(prefix + "lang_pred", StringType()), StructField(prefix + "score", DoubleType()), StructField(prefix + "bits", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language_id", _forget)
         parser = _parser(texts, block)
         for batch in sub_batches(batches, text_col, 1 << 21):
             found = parser.predict([x or "" for x in batch.column(text_col).to_pylist()])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
-from lodestar.llm.common import LAST_ID, map_arrow, squeeze, sub_batches, tasks, text_bytes, unsqueezed
+from lodestar.llm.common import LAST_ID, hold, map_arrow, squeeze, sub_batches, tasks, text_bytes, unsqueezed
 from lodestar.llm.native import keyed
 
 #: Units of a batch: the value of each, where each text's begin, and what windows' contents are cut from.
@@ -157,6 +157,7 @@ def live(rows: DataFrame, units: Units, length: int, gram: int, most: int) -> Da
     shards = SHARDS * tasks(rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("hashes", H._powers.clear)
         for batch in sub_batches(batches, "text", most):
             values, offsets, _ = units(*text_bytes(batch.column("text")))
             ids = _ids(batch)
@@ -222,6 +223,7 @@ def repeated(rows: DataFrame, at: DataFrame, units: Units, length: int, gram: in
     joined = rows.select("d", "th", "text").join(at, ["d", "th"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("hashes", H._powers.clear)
         for batch in sub_batches(batches, "text", most):
             values, offsets, source = units(*text_bytes(batch.column("text")))
             ids = _ids(batch)

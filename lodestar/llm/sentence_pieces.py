@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from lodestar.llm.common import map_arrow, sub_batches, table
+from lodestar.llm.common import hold, map_arrow, sub_batches, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model file
 HEAD = 7  # characters over which texts that begin alike share their steps
 PAIR = (2,)  # lengths to try, longest first, for a tail in which no longer piece ends
-MEMO = 1_000_000  # words whose ids a worker keeps, some 200 MB; the memo starts anew beyond that
+MEMO = 800_000  # words whose ids a worker keeps, some 160 MB; the memo starts anew beyond that
 
 
 class Model:
@@ -57,6 +57,7 @@ class Model:
         ids = {p: i for i, p in enumerate(self.pieces) if self.kind[i] == NORMAL}
         self.rank = ids
         self.ids = {p: i for p, i in ids.items() if len(p) == 1 or not self.merges or self._merge(list(p)) == [p]}
+        self.own = {p: p for p in self.ids}  # one string object a piece, however often paths hold it
         self.longest = max(map(len, self.ids), default=1)
         #: For each tail of three characters, the lengths of the pieces that end in it, longest first.
         tails: dict[str, set[int]] = {}
@@ -87,7 +88,7 @@ class Model:
         """Whether the merges leave a and b side by side."""
         key = (a, b)
         if (found := self.pairs.get(key)) is None:
-            if len(self.pairs) > 4 * MEMO:
+            if len(self.pairs) > MEMO:
                 self.pairs.clear()
             found = self.pairs[key] = self._merge([*a, *b]) == [a, b]
         return found
@@ -198,7 +199,7 @@ class Stream:
         if len(text) > HEAD:
             known = m.heads.get(text[:HEAD])
             if known is None:
-                if len(m.heads) >= MEMO:
+                if len(m.heads) >= MEMO // 4:
                     m.heads.clear()
                 known = m.heads[text[:HEAD]] = tuple(self._survivors(text[:HEAD], [""]))
             last = self._survivors(text, list(known))
@@ -220,14 +221,15 @@ class Stream:
     def _survivors(self, text: str, last: list[str]) -> list[str]:
         """last, up to the end of text."""
         m = self.m
-        ids, pairs, fits, tails = m.ids, m.pairs, m.fits, m.tails.get
+        own, pairs, fits, tails = m.own.get, m.pairs, m.fits, m.tails.get
         put = last.append
         for i in range(len(last), len(text) + 1):
             found = text[i - 1]
+            found = own(found, found)
             for n in tails(text[i - 3 : i], PAIR) if i > 2 else PAIR[: i - 1]:
                 if n <= i:
-                    piece = text[i - n : i]
-                    if piece in ids:
+                    piece = own(text[i - n : i])
+                    if piece is not None:
                         before = last[i - n]
                         fit = pairs.get((before, piece)) if before else True
                         if fit or (fit is None and fits(before, piece)):
@@ -300,6 +302,7 @@ def encode(df: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
     out = StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType()), StructField("exact", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("sentence_pieces", model.cache_clear)
         m = model(path)
         for batch in sub_batches(batches, text_col, 1 << 21):
             texts = [x or "" for x in batch.column(text_col).to_pylist()]

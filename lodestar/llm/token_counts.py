@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_arrow, sub_batches, table
+from lodestar.llm.common import hold, map_arrow, sub_batches, table
 
 STABLE = " \t\n\r"
 MEMO = 500_000  # pieces whose counts a worker keeps; the memo starts anew beyond that
@@ -43,6 +43,15 @@ def _tokenizer(path: str):
     return tok
 
 
+def _memo(path: str) -> dict[str, int]:
+    """This worker's counts, kept from task to task."""
+    return _memos.setdefault(path, {})
+
+
+def _forget() -> None:
+    _memos.clear()
+
+
 def splice_count(tok, text: str, chunk: int, overlap: int) -> int:
     """Tokens of text, from encodings of at most about chunk + overlap characters."""
     if not 0 < overlap < chunk:
@@ -93,7 +102,8 @@ def count_tokens(df: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
     """(doc_id, n_bytes, n_tokens, over_limit) of every row. tokenizer: path of a tokenizer file, readable on executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, memo = _tokenizer(tokenizer), _memos.setdefault(tokenizer, {})
+        hold("token_counts", _forget)
+        tok, memo = _tokenizer(tokenizer), _memo(tokenizer)
         for batch in sub_batches(batches, "text", 1 << 19):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             counts = [0] * len(texts)
