@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,9 @@ class Model:
         self.unk = self.kind.index(UNKNOWN)
         self.byte = {int(p[1:-1], 16): i for i, p in enumerate(self.pieces) if self.kind[i] == BYTE}
         self.byte_of = {i: b for b, i in self.byte.items()}
+        #: What an id shows by itself; bytes outside ASCII don't, they need their neighbours.
+        self.alone = [p if k not in (UNKNOWN, CONTROL, BYTE) else " ⁇ " if k == UNKNOWN else chr(self.byte_of[i]) if k == BYTE else "" for i, (p, k) in enumerate(zip(self.pieces, self.kind, strict=True))]
+        self.high = frozenset(i for i, b in self.byte_of.items() if b >= 0x80)
         ids = {p: i for i, p in enumerate(self.pieces) if self.kind[i] == NORMAL}
         self.rank = ids
         self.ids = {p: i for p, i in ids.items() if len(p) == 1 or not self.merges or self._merge(list(p)) == [p]}
@@ -112,25 +116,32 @@ class Model:
         whole = self.escaped(text)
         if self.crosses:
             return Stream(self).all(whole)
-        out: list[int] = []
-        memo = self.memo
         words = whole.split(SPACE)
-        if words[0]:
-            out += self._word(words[0])
+        if words[0] or "" in words[1:]:
+            return self._runs(words)
+        # One escape before each word: the memo is by what follows it.
+        memo = self.memo
+        parts = list(map(memo.get, words[1:]))
+        if None in parts:
+            parts = [self._word(w) if ids is None else ids for w, ids in zip(words[1:], parts, strict=True)]
+        return list(chain.from_iterable(parts))
+
+    def _runs(self, words: list[str]) -> list[int]:
+        """The same where runs of escapes, or none, stand before a word."""
+        out = Stream(self).all(words[0]) if words[0] else []
         gap = 0
         for w in words[1:]:
             gap += 1
             if w:
-                key = SPACE * gap + w
-                ids = memo.get(key)
-                out += self._word(key) if ids is None else ids
+                out += self._word(w) if gap == 1 else Stream(self).all(SPACE * gap + w)
                 gap = 0
-        return out + list(self._word(SPACE * gap)) if gap else out
+        return out + Stream(self).all(SPACE * gap) if gap else out
 
     def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word with one escape before it."""
         ids = self.memo.get(word)
         if ids is None:
-            ids = tuple(Stream(self).all(word))
+            ids = tuple(Stream(self).all(SPACE + word))
             if len(word) <= 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -138,6 +149,8 @@ class Model:
         return ids
 
     def decode(self, ids: list[int]) -> str:
+        if self.high.isdisjoint(ids):
+            return self._shown("".join(map(self.alone.__getitem__, ids)))
         out, pending = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -153,7 +166,10 @@ class Model:
                 out.append(self.pieces[i])
         if pending:
             out.append(_utf8(bytes(pending)))
-        text = "".join(out).replace(SPACE, " ")
+        return self._shown("".join(out))
+
+    def _shown(self, text: str) -> str:
+        text = text.replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
