@@ -34,7 +34,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model file
 HEAD = 7  # characters over which texts that begin alike share their steps
 PAIR = (2,)  # lengths to try, longest first, for a tail in which no longer piece ends
-MEMO = 800_000  # words whose ids a worker keeps, some 160 MB; the memo starts anew beyond that
+MEMO = 600_000  # words whose ids a worker keeps, some 100 MB; the memo starts anew beyond that
 
 
 class Model:
