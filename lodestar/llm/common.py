@@ -84,6 +84,16 @@ def unsqueezed(parts: list[bytes | None], dtype) -> np.ndarray:
     return np.frombuffer(b"".join(_CODEC.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in parts if x), dtype=dtype)
 
 
+def joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """The bytes of a binary column without nulls, one value after the other, as an array."""
+    parts = [np.zeros(0, np.uint8)]
+    for chunk in column.chunks:
+        if len(chunk) and chunk.buffers()[2] is not None:
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(parts).view(dtype)
+
+
 _holder: tuple[str, Callable[[], None]] | None = None
 
 

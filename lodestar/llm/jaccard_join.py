@@ -33,10 +33,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
-from lodestar.llm.common import components, cut, hold, map_arrow, release, squeeze, sub_batches, table, tasks, text_bytes, unsqueezed
+from lodestar.llm.common import components, cut, hold, joined, map_arrow, release, squeeze, sub_batches, table, tasks, text_bytes, unsqueezed
 from lodestar.llm.native import small
 
-BATCH = 1 << 21
+BATCH = 1 << 20
 CELLS = 1 << 20  # of the count sketch
 BLOCK = 1 << 16
 HOT = 20_000  # documents of a key from which on it is told by blocks
@@ -249,9 +249,10 @@ def _candidates(rows: DataFrame, size: int, percent: int, frequency: bytes) -> D
     def meet(t: pa.Table) -> pa.Table:
         width = int(words_of(t.column("shard")[0].as_py() // parts))
         ids = np.concatenate([unsqueezed([x], np.int64).reshape(4, -1) for x in t.column("docs").to_pylist()], axis=1)
-        sketches = np.frombuffer(b"".join(t.column("sketches").to_pylist()), np.uint64).reshape(-1, width)
+        sketches = joined(t.column("sketches"), np.uint64).reshape(-1, width)
         entry = np.repeat(np.arange(ids.shape[1]), unsqueezed(t.column("counts").to_pylist(), np.uint32).astype(np.int64))
-        sub = np.frombuffer(b"".join(t.column("sub").to_pylist()), np.uint32)
+        sub = joined(t.column("sub"), np.uint32)
+        del t
         d, same, c, n = ids
         order = np.lexsort((d, same))
         lead = np.zeros(len(d), bool)
