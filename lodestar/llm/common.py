@@ -70,7 +70,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_CODEC = pa.Codec("zstd", compression_level=1)
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 
 def squeeze(values: np.ndarray) -> bytes:
