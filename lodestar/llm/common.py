@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. One of our own only where the session names
+    none and runs in a single process; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lodestar-")
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -33,11 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written and nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/lodestar-" in f}:
+            _delete(spark, file)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that operators have written in this session. Results that are read lazily from them are lost, too:
+    call it when results have been written."""
+    _delete(spark, f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names like these that no column of df has, however upper and lower case count."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def tasks(df: DataFrame) -> int:
     """How many partitions a shuffle of this session makes."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -124,27 +160,64 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def stars(edges: np.ndarray) -> np.ndarray:
+    """Edges (node, least node of its group) that connect what these edges connect."""
+    if not len(edges):
+        return edges.reshape(0, 2)
+    ids, at = np.unique(edges, return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = np.arange(len(ids))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, at[:, 0], root[at[:, 1]])
+        np.minimum.at(low, at[:, 1], root[at[:, 0]])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    return np.stack([ids[other], ids[root[other]]], axis=1)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v), v < u: what the edges (u, v) of each partition connect, as stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, new, n = np.zeros((0, 2), np.int64), [], 0
+        for batch in batches:
+            new.append(np.stack([batch.column(x).to_numpy() for x in ("u", "v")], axis=1))
+            n += batch.num_rows
+            if n > max(1 << 20, len(have)):
+                have, new, n = stars(np.concatenate([have, *new])), [], 0
+        have = stars(np.concatenate([have, *new]))
+        yield pa.RecordBatch.from_arrays([pa.array(have[:, 0]), pa.array(have[:, 1])], names=["u", "v"])
+
+    return map_arrow(edges, run, "u long, v long")
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each u has one v and no v is a u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(False).alias("top")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(True).alias("top")))
+    return ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where("n > 1 or (n = 1 and top)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component), component the least node id reachable; nodes without an edge are absent.
 
-    Alternating large and small stars over the edge list. Each round is a partially aggregated min per node, written, and
-    a join of the edges with it: broadcast if it has few rows, else a shuffled join of two tables, whose hot nodes the
-    adaptive skew join splits. Rounds end when the edge set no longer changes.
+    The edges of each partition become stars; then large and small stars alternate until the whole edge list is stars.
+    Each round is a partially aggregated min per node, written, and a join of the edges with it: broadcast if it has few
+    rows, else a shuffled join of two tables, whose hot nodes the adaptive skew join splits.
     """
     from lodestar.llm.native import small
 
-    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
-    e, seen = cut(e), None
-    while True:
+    e = cut(_contracted(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")).distinct())
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = small(cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        low = small(cut(large.groupBy("u").agg(F.min("v").alias("m"))))
-        near = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(near.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
+        first = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.join(small(first), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        second = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        near = large.join(small(second), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(second.select("u", F.col("m").alias("v")))
+        near = near.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        old, e = e, cut(_contracted(near).distinct())
+        forget(old, first, large, second)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import components, cut, map_arrow, table
+from lodestar.llm.common import components, cut, map_arrow, stars, table
 from lodestar.llm.native import small
 
 TINY = 1e-6  # rows closer than this are not told apart by distance
@@ -269,7 +269,7 @@ def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
         s = np.concatenate([e[0] for e in ends]) if ends else np.zeros(0, np.int64)
         e = np.concatenate([e[1] for e in ends]) if ends else np.zeros(0, np.int64)
         edge = np.unique(np.stack([np.minimum(s, e), np.maximum(s, e)], axis=1)[s != e], axis=0)
-        edge = _forest(edge)
+        edge = stars(edge)[:, ::-1]
         some = np.flatnonzero(count)
         return pa.table({"a": np.concatenate([ids[some], edge[:, 0]]), "b": np.concatenate([np.full(len(some), -1), edge[:, 1]]), "n": np.concatenate([count[some], np.zeros(len(edge), np.int64)]), "edge": np.concatenate([np.zeros(len(some), bool), np.ones(len(edge), bool)])})
 
@@ -277,25 +277,6 @@ def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
     return found.where("not edge").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), found.where("edge").select("a", "b")
 
 
-def _forest(edges: np.ndarray) -> np.ndarray:
-    """Edges of stars that connect what these edges connect."""
-    if not len(edges):
-        return edges.reshape(0, 2)
-    ids, at = np.unique(edges, return_inverse=True)
-    at = at.reshape(-1, 2)
-    root = np.arange(len(ids))
-    while True:
-        low = root.copy()
-        np.minimum.at(low, at[:, 0], root[at[:, 1]])
-        np.minimum.at(low, at[:, 1], root[at[:, 0]])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    other = np.flatnonzero(root != np.arange(len(ids)))
-    return np.stack([ids[root[other]], ids[other]], axis=1)
-
-
 def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", **how) -> DataFrame:
     """(id, n_links, component_id, kept) of every row of df."""
     counts, edges = links(df, id_col=id_col, **how)

@@ -13,14 +13,21 @@ is the one shingle). Documents link when 100 * shared >= percent * all shingles
    frequent a key is: a fixed-size count sketch over all documents tells it, and any error in it is harmless.
    Documents with too few such words can only miss each other, and share a key of their own.
 4. Documents that share a key are candidates, if they are not known to be connected (a first round over few keys finds
-   most links) and if sketches of two to four bits a shingle are no farther apart than the two sets may be. Those left are
-   verified: both sets are made from the texts and counted.
+   most links) and if sketches of two to four bits a shingle are no farther apart than the two sets may be. A shard tells
+   not these pairs but a spanning forest of them, so it has at most as many rows as documents.
+5. Documents that such forests connect are an arena. The forests' edges are verified; in an arena that still has several
+   components, each document outside the largest one is compared with all others, by sketches and then by the sets, until
+   its component is linked or all partners are refused. A task has a block of the arena and a block of such documents,
+   and tells a spanning forest of the links it finds.
+6. Links are counted by the words of the two texts, not by hashes, before they connect anything.
 
 Keys travel packed, some of a band to a shard, with the sketch of each of the shard's documents once. A key that very many
 documents have is told once for each pair of blocks of them, so no group grows beyond two blocks.
 
 Defined cases: null or wordless text has an empty set, links with nothing and is its own component; a row without id takes
-part in nothing and has a null component; rows that repeat an id are one node with all their links.
+part in nothing and has a null component; rows that repeat an id are one node with all their links; an empty table gives an
+empty result; texts may be of any length (a batch has one text at least, and memory grows with the longest text); equal
+texts are one leader and its copies; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
-from lodestar.llm.common import components, cut, hold, joined, map_arrow, release, squeeze, sub_batches, table, tasks, text_bytes, unsqueezed
+from lodestar.llm.common import components, cut, fresh, hold, joined, map_arrow, release, squeeze, sub_batches, table, tasks, text_bytes, unsqueezed
 from lodestar.llm.native import small
 
 BATCH = 1 << 20
@@ -41,6 +48,9 @@ CELLS = 1 << 20  # of the count sketch
 BLOCK = 1 << 16
 HOT = 20_000  # documents of a key from which on it is told by blocks
 SOME = 8  # keys of a sketch in the first round
+ARENA = 512  # documents of a block in an arena
+WIDEST = 64  # 64-bit words of a sketch in an arena, at most
+FOUND = 1 << 20  # pairs that a shard holds before it keeps a spanning forest of them only
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +68,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
         out[begin[owner] + step] = g[at[owner] + step]
     few = np.flatnonzero((n > 0) & (n < size))
     if len(few):
-        out[begin[few]] = H.mix(H.ranges(H.prefix(words), at[few], at[few + 1]) + n[few].astype(np.uint64))
+        out[begin[few]] = H.sequences(words, at[few], at[few + 1])
     for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
         out[a:b].sort()
     new = np.ones(len(out), bool)
@@ -68,6 +78,30 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return out[new], kept[begin]
 
 
+def named(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingles(), with numbers in place of hashes: two shingles of these texts have one number if their words are equal."""
+    low = H._LOWER[data]
+    start, end, at = H.bounds(low, offsets)
+    word, total = H.exact(low, start, end, H.spans(low, start, end))
+    n = np.diff(at)
+    name, have, length = word, 1, max(1, total)
+    while have < size:
+        step = min(have, size - have)
+        if len(name) <= step:
+            break
+        key, name = np.unique(name[:-step] * length + name[step:], return_inverse=True)
+        have, length = have + step, len(key)
+    count = np.where(n >= size, n - size + 1, 0)
+    owner = np.repeat(np.arange(len(n)), count)
+    place = np.repeat(at[:-1] - (np.cumsum(count) - count), count) + np.arange(len(owner))
+    few: dict[tuple[int, ...], int] = {}
+    short = np.flatnonzero((n > 0) & (n < size))
+    numbers = [length + few.setdefault(tuple(word[at[i] : at[i + 1]].tolist()), len(few)) for i in short.tolist()]
+    both = np.unique(np.concatenate([owner, short]) * (length + len(few) + 1) + np.concatenate([name[place], np.array(numbers, np.int64)]))
+    owner, found = np.divmod(both, length + len(few) + 1)
+    return found, np.searchsorted(owner, np.arange(len(n) + 1))
+
+
 def allowed(n: np.ndarray, percent: int) -> np.ndarray:
     """In how many shingles a set of n may differ from one that it links with."""
     return n * (100 - percent) // percent
@@ -130,7 +164,7 @@ def _profile(rows: DataFrame, size: int, percent: int, cells: int) -> DataFrame:
     schema = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("hashes", H._powers.clear)
+        hold("jaccard_join", lambda: None)
         counts, salt = np.zeros(cells, np.uint32), 0
         for batch in sub_batches(batches, "text", BATCH):
             sets, begin = shingles(*text_bytes(batch.column("text")), size)
@@ -207,8 +241,9 @@ def _leaders(sets: np.ndarray, begin: np.ndarray, d: np.ndarray) -> tuple[np.nda
 
 
 def _candidates(rows: DataFrame, size: int, percent: int, frequency: bytes) -> DataFrame:
-    """(a, b) with a < b: leaders of different components that share a key and whose sketches are near enough to link.
-    rows: d, text, c (component so far). A shard has some keys of one band, and each of its documents' sketches once."""
+    """(a, b) with a < b: for each shard, a spanning forest of the pairs of leaders of different components that share a key
+    there and whose sketches are near enough to link. rows: d, text, c (component so far). A shard has some keys of one
+    band, and each of its documents' sketches once."""
     cells = len(frequency)
     parts = max(1, tasks(rows) // 16)
     packed = pa.schema([("shard", pa.int32()), ("docs", pa.binary()), ("sketches", pa.binary()), ("counts", pa.binary()), ("sub", pa.binary())])
@@ -258,7 +293,7 @@ def _candidates(rows: DataFrame, size: int, percent: int, frequency: bytes) -> D
         lead = np.zeros(len(d), bool)
         lead[order] = np.concatenate([[True], same[order][1:] != same[order][:-1]])
         used = lead[entry]
-        a, b = _pairs(sub[used], entry[used], c, n, sketches, percent)
+        a, b = _pairs(sub[used], entry[used], d, c, n, sketches, percent)
         del sketches, entry, sub, used
         release()
         x, y = np.minimum(d[a], d[b]), np.maximum(d[a], d[b])
@@ -282,8 +317,44 @@ def _blocked(text: np.ndarray, full: np.ndarray, same: np.ndarray) -> tuple[np.n
     return np.concatenate(out_text), np.concatenate(out)
 
 
-def _pairs(sub: np.ndarray, doc: np.ndarray, c: np.ndarray, n: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of documents that share a `sub`, differ in c, and may link by sizes and sketches."""
+def spanning(x: np.ndarray, y: np.ndarray, weight: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, weight) of the edges of a least spanning forest of edges between nodes that have the ids d. Equal weights are
+    told apart by ids, so forests of parts of a graph have much in common."""
+    order = np.lexsort((np.maximum(d[x], d[y]), np.minimum(d[x], d[y]), weight))
+    x, y, weight = x[order], y[order], weight[order]
+    root, out = np.arange(len(d)), []
+    left = np.arange(len(x))
+    while True:
+        left = left[root[x[left]] != root[y[left]]]
+        if not len(left):
+            break
+        best = np.full(len(d), len(x))
+        np.minimum.at(best, root[x[left]], left)
+        np.minimum.at(best, root[y[left]], left)
+        pick = np.unique(best[best < len(x)])
+        out.append(pick)
+        root = _joined(root, x[pick], y[pick])
+    pick = np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    return x[pick], y[pick], weight[pick]
+
+
+def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """root (the least node of each node's group), with the groups of each x and y made one."""
+    a, b = root[x], root[y]
+    low = np.arange(len(root))
+    while True:
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == low).all():
+            return low[root]
+        low = new
+
+
+def _pairs(sub: np.ndarray, doc: np.ndarray, d: np.ndarray, c: np.ndarray, n: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of documents that share a `sub`, differ in c, and may link by sizes and sketches."""
     order = np.lexsort((doc, sub))
     sub, doc = sub[order], doc[order]
     first = np.flatnonzero(np.concatenate([[True], sub[1:] != sub[:-1]])) if len(sub) else np.zeros(0, np.int64)
@@ -292,8 +363,7 @@ def _pairs(sub: np.ndarray, doc: np.ndarray, c: np.ndarray, n: np.ndarray, sketc
     if len(first):
         mixed = np.minimum.reduceat(c[doc], first) != np.maximum.reduceat(c[doc], first)
         first, count = first[mixed], count[mixed]
-    total = len(c)
-    found: list[np.ndarray] = [np.zeros(0, np.int64)]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
     width = sketches.shape[1]
     early = -(-2 * width // 5)  # words after which sets with little in common are too far apart already
     low, high, n = (100 * n).astype(np.int32), (percent * n).astype(np.int32), n.astype(np.int32)
@@ -308,7 +378,7 @@ def _pairs(sub: np.ndarray, doc: np.ndarray, c: np.ndarray, n: np.ndarray, sketc
                 near = apart <= most
                 x, y, apart, most = x[near], y[near], apart[near], most[near]
         near = apart <= most
-        found.append(x[near].astype(np.int64) * total + y[near])
+        found.append((x[near], y[near], apart[near].astype(np.int64)))
 
     for k in np.unique(count).tolist():
         at = first[count == k]
@@ -332,10 +402,9 @@ def _pairs(sub: np.ndarray, doc: np.ndarray, c: np.ndarray, n: np.ndarray, sketc
                 near &= apart * np.int32(100 + percent) <= (100 - percent) * (n[left][:, :, None] + n[members][:, None, :])
                 p, u, v = np.nonzero(near)
                 rest(left[p, u], members[p, v], apart[p, u, v].astype(np.int32), early)
-        if sum(map(len, found)) > 1 << 20:
-            found = [np.unique(np.concatenate(found))]
-    out = np.unique(np.concatenate(found))
-    return out // max(total, 1), out % max(total, 1)
+                if sum(len(f[0]) for f in found) > FOUND:
+                    found = [spanning(*map(np.concatenate, zip(*found, strict=True)), d)]
+    return spanning(*map(np.concatenate, zip(*found, strict=True)), d)[:2]
 
 
 def _first_keys(sketch: np.ndarray, full: np.ndarray, few: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,22 +427,21 @@ def _first_keys(sketch: np.ndarray, full: np.ndarray, few: np.ndarray, most: np.
 
 
 def measured(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(a, b, na, nb, shared) of every pair: sizes of the two sets and of their intersection."""
+    """(a, b, na, nb, shared) of every pair: sizes of the two sets and of their intersection, by the words themselves."""
     pairs = pairs.select("a", "b")
     wanted = small(cut(pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()))
     rows = rows.select("d", "text").join(wanted, "d", "left_semi")
     both = pairs.join(rows.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b").join(rows.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "tb", BATCH // 2):
-            x, xb = shingles(*text_bytes(batch.column("ta")), size)
-            y, yb = shingles(*text_bytes(batch.column("tb")), size)
-            shared = np.zeros(batch.num_rows, np.int64)
-            for i in range(batch.num_rows):
-                z = np.concatenate([x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]]])
-                z.sort()
-                shared[i] = np.count_nonzero(z[1:] == z[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.diff(xb)), pa.array(np.diff(yb)), pa.array(shared)], names=["a", "b", "na", "nb", "shared"])
+        for batch in sub_batches(batches, "tb", BATCH // 4):
+            k = batch.num_rows
+            found, begin = named(*text_bytes(pa.concat_arrays([batch.column("ta"), batch.column("tb")])), size)
+            n = np.diff(begin)
+            key = np.repeat(np.arange(2 * k) % k, n) * (int(found.max(initial=0)) + 1) + found
+            key.sort()
+            shared = np.bincount(key[1:][key[1:] == key[:-1]] // (int(found.max(initial=0)) + 1), minlength=k)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n[:k]), pa.array(n[k:]), pa.array(shared)], names=["a", "b", "na", "nb", "shared"])
 
     return map_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long, na long, nb long, shared long")
 
@@ -382,6 +450,77 @@ def linked(percent: int) -> Column:
     return (F.col("shared") > 0) & (100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
 
 
+def _contested(arena: DataFrame, label: DataFrame) -> DataFrame:
+    """(d, arena, c, odd, places): documents of the arenas that have several components; odd: outside of the arena's largest
+    one; places: blocks (u, v) and whether the document is there as an odd one (to be compared with the others)."""
+    docs = arena.withColumnRenamed("node", "d").join(label, "d", "left").select("d", F.col("component").alias("arena"), F.coalesce("c", "d").alias("c"))
+    docs = cut(docs)
+    sizes = docs.groupBy("arena", "c").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("arena").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("c").alias("most"))).alias("t")).where("n > t.n")
+    blocks = lambda n: F.ceil(n / ARENA).cast("int")
+    sizes = small(cut(sizes.select("arena", "t.most", blocks(F.col("n")).alias("nv"), blocks(F.col("n") - F.col("t.n")).alias("nu"))))
+    docs = docs.join(sizes, "arena").withColumn("odd", F.col("c") != F.col("most"))
+    v, u = F.pmod(F.xxhash64("d"), F.col("nv")).cast("int"), F.pmod(F.xxhash64("d", F.lit(1)), F.col("nu")).cast("int")
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    here = each(F.col("nu"), lambda x: F.struct(x.alias("u"), v.alias("v"), F.lit(False).alias("asks")))
+    asks = each(F.col("nv"), lambda x: F.struct(u.alias("u"), x.alias("v"), F.lit(True).alias("asks")))
+    return docs.select("d", "arena", "c", "odd", F.when(F.col("odd"), F.concat(here, asks)).otherwise(here).alias("places"))
+
+
+def _settled(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): a spanning forest, of each task, of the links between components of contested arenas. docs: _contested()."""
+    docs = small(cut(docs))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text", BATCH):
+            sets, begin = shingles(*text_bytes(batch.column("text")), size)
+            packed = pa.array([squeeze(sets[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("d", "arena", "c", "odd", "places")), packed], names=["d", "arena", "c", "odd", "places", "sets"])
+
+    made = map_arrow(rows.select("d", "text").join(docs, "d"), make, "d long, arena long, c long, odd boolean, places array<struct<u:int,v:int,asks:boolean>>, sets binary")
+    made = made.select("d", "arena", "c", "odd", "sets", F.explode("places").alias("p")).select("d", "arena", "c", "odd", "sets", "p.*")
+
+    def resolve(t: pa.Table) -> pa.Table:
+        asks, odd = (np.array(t.column(x).to_pylist(), bool) for x in ("asks", "odd"))
+        d, c = (t.column(x).to_numpy() for x in ("d", "c"))
+        parts = [unsqueezed([x], np.uint64) for x in t.column("sets").to_pylist()]
+        return pa.table(dict(zip(("a", "b"), _arena(d, c, odd, asks, parts, percent), strict=True)))
+
+    return made.groupBy("arena", "u", "v").applyInArrow(resolve, "a long, b long")
+
+
+def _arena(d: np.ndarray, c: np.ndarray, odd: np.ndarray, asks: np.ndarray, parts: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between those that ask and the others, each between two components that were not connected before."""
+    n = np.array([len(x) for x in parts], np.int64)
+    sets, begin = np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(n)])
+    width = int(min(WIDEST, words_of(np.floor(np.log2(max(1, n.max(initial=1)))))))
+    sketch = bits(sets, begin, np.arange(len(n)), width)
+    label = np.unique(c, return_inverse=True)[1]
+    there = np.flatnonzero(~asks & (n > 0))
+    out: list[tuple[int, int]] = []
+    for x in np.flatnonzero(asks & (n > 0)).tolist():
+        # Two odd ones meet twice, with the roles changed: the lesser id asks.
+        y = there[(label[there] != label[x]) & (d[there] != d[x]) & ~(odd[there] & (d[there] < d[x]))]
+        y = y[(100 * n[y] >= percent * n[x]) & (100 * n[x] >= percent * n[y])]
+        apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        near = apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+        y = y[near][np.argsort(apart[near], kind="stable")]
+        own = parts[x]
+        while len(y):
+            some, y = y[:64], y[64:]
+            held = np.concatenate([parts[i] for i in some])
+            at = np.minimum(np.searchsorted(own, held), len(own) - 1)
+            shared = np.add.reduceat(own[at] == held, np.cumsum(n[some]) - n[some], dtype=np.int64)
+            hit = some[100 * shared >= percent * (n[x] + n[some] - shared)]
+            if len(hit):
+                other, first = np.unique(label[hit], return_index=True)
+                out += [(int(d[x]), int(d[i])) for i in hit[first]]
+                label[np.isin(label, other)] = label[x]
+                y = y[label[y] != label[x]]
+    ends = np.array(out, np.int64).reshape(-1, 2)
+    return ends.min(axis=1, initial=np.iinfo(np.int64).max), ends.max(axis=1, initial=np.iinfo(np.int64).min)
+
+
 def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, cells: int = CELLS) -> DataFrame:
     """(d, th, n_shingles, component_id) of every row that has an id; d, th: id and xxhash64 of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -398,10 +537,13 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     stars = some.join(center, "key").where("d <> a").groupBy("a", F.col("d").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     best = cut(stars.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"))
     links = cut(measured(best, rows, size).where(linked(percent)).select("a", "b").distinct())
-    label = small(components(links).select(F.col("node").alias("d"), F.col("component").alias("c")))
-    known = rows.join(label, "d", "left").select("d", "text", F.coalesce("c", "d").alias("c"))
-    more = cut(_candidates(known, size, percent, _frequency(profile, cells)))
-    links = links.unionByName(measured(more, rows, size).where(linked(percent)).select("a", "b"))
+    label = lambda e: small(components(e).select(F.col("node").alias("d"), F.col("component").alias("c")))
+    known = rows.join(label(links), "d", "left").select("d", "text", F.coalesce("c", "d").alias("c"))
+    near = cut(_candidates(known, size, percent, _frequency(profile, cells)))
+    if not near.isEmpty():
+        links = cut(links.unionByName(measured(near, rows, size).where(linked(percent)).select("a", "b")))
+        more = cut(_settled(rows, _contested(components(near), label(links)), size, percent).distinct())
+        links = links.unionByName(measured(more, rows, size).where(linked(percent)).select("a", "b"))
 
     equal = small(cut(docs.where("n > 0").groupBy("k1", "k2").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead <> last").select("k1", "k2", "lead")))
     docs = docs.join(equal, ["k1", "k2"], "left").select("d", "th", "n", F.when(F.col("n") > 0, F.coalesce("lead", "d")).otherwise(F.col("d")).alias("lead"))
@@ -419,8 +561,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """df's rows with n_shingles and component_id added (null for a row without id), in place of columns so named."""
     found = classes(df, id_col=id_col, text_col=text_col, size=size, percent=percent)
-    rows = df.drop("n_shingles", "component_id").withColumns({"__d": F.col(id_col).cast("long"), "__th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return rows.join(found.select(F.col("d").alias("__d"), F.col("th").alias("__th"), "n_shingles", "component_id"), ["__d", "__th"], "left").drop("__d", "__th")
+    d, th = fresh(df, "d", "th")
+    rows = df.drop("n_shingles", "component_id").withColumns({d: F.col(id_col).cast("long"), th: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return rows.join(found.select(F.col("d").alias(d), F.col("th").alias(th), "n_shingles", "component_id"), [d, th], "left").drop(d, th)
 
 
 ORACLE_SQL = r"""

@@ -1,22 +1,28 @@
 """Windows of a fixed length that also start in a document with a smaller id: the distributed part.
 
-A text is a row of units (bytes or words); a window is `length` units. Every window has an anchor: the gram of `gram`
-units in it with the least hash, the leftmost if several are equal. Equal windows have equal anchors, so
+A text is a row of units (bytes or words). `lengths` are window lengths, each at most twice the one before; windows of the
+last one are what is looked for. A window of one length shows one window of the length before: that with the least hash
+in it, the leftmost if several are equal. Equal windows show equal ones, at the same place. So, level by level,
 
-1. anchors of all texts meet by hash (`live`): one that occurs in a single document has no repeated window;
-2. for the others, the run of windows that share an anchor is sent, as its content, to where all runs of that anchor
+1. shown windows of all texts meet by hash (`live`): one that occurs in a single document is repeated nowhere, and only
+   around the others are windows of the next length made; with no candidate left, later levels have nothing to read;
+2. at the last level, the run of windows that show the same one is sent, as its content, to where all runs of that one
    meet (`repeated`); there the operator's own method finds which windows are equal, and the least document of each;
-3. what is found comes back as runs of windows of a document (`by_document`).
+3. what is found comes back as runs of windows of a document (`marked`).
 
-Anchors and runs travel as packed arrays, a row for a shard and a batch of texts. Before that each batch is reduced: an
-anchor (a run of the same content) that several documents of a batch share is sent for one of them, and the others are
-settled at once. So a group of copies costs a shard one entry a batch, not one a copy. Hashes of 64 bits stand for
-anchors and contents, of 32 bits more within a shard in step 1, where a false match only costs time.
+Shown windows and runs travel as packed arrays, a row for a shard and a batch of texts. Before that each batch is
+reduced: a window (a run of the same content) that several documents of a batch share is sent for one of them, and the
+others are settled at once. So a group of copies costs a shard one entry a batch, not one a copy. Hashes choose
+candidates only, where a false match costs time; contents count as equal when their bytes are.
+
+Defined cases: an empty table has no windows; texts may be of any length (a batch has one text at least, and memory grows
+with the longest text); of df only the two named columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +34,57 @@ from lodestar.llm import hashes as H
 from lodestar.llm.common import LAST_ID, hold, map_arrow, squeeze, sub_batches, tasks, text_bytes, unsqueezed
 from lodestar.llm.native import keyed
 
-#: Units of a batch: the value of each, where each text's begin, and what windows' contents are cut from.
-Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 SHARDS = 1  # a shuffle partition
-PART = 1 << 19  # bytes of contents that a shard compares at a time, if no anchor has more
-PACKED = "shard int, settled boolean, docs binary, counts binary, a binary, b binary, c binary, body binary"
+PART = 1 << 19  # bytes of contents that a shard compares at a time, if no shown window has more
+PACKED = "shard int, settled boolean, docs binary, counts binary, a binary, b binary, c binary, sizes binary, body binary"
+
+
+class Bytes:
+    """Texts of a batch as bytes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets, self.n = data, offsets, len(data)
 
+    def grams(self, n: int) -> np.ndarray:
+        m = self.n - n + 1
+        if m <= 0:
+            return np.zeros(0, np.uint64)
+        view = H.eights(self.data)
+        out = view[:m] & H._MASK[min(n, 8)]
+        for at in range(8, n, 8):
+            out = H.fold(out, view[at : at + m] & H._MASK[min(n - at, 8)])
+        return H.mix(out) if n <= 8 else out
 
-def byte_units(data: np.ndarray, offsets: np.ndarray):
-    return H.BYTES[data], offsets, data
+    def contents(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, start, end) of runs of units."""
+        return self.data, start, end
 
 
-def word_units(data: np.ndarray, offsets: np.ndarray):
-    _, _, hashes, at = H.words(data, offsets)
-    return hashes, at, hashes
+class Words:
+    """Texts of a batch as words; a content is its words, joined by one space."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data = data
+        self.start, self.end, self.offsets = H.bounds(data, offsets)
+        self.n = len(self.start)
+
+    def grams(self, n: int) -> np.ndarray:
+        return H.grams(H.spans(self.data, self.start, self.end), n)
+
+    def contents(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = self.end - self.start
+        last = np.cumsum(size + 1) - 1
+        out = np.full(int(last[-1]) + 1 if self.n else 0, 32, np.uint8)
+        solid = np.ones(len(out), bool)
+        solid[last] = False
+        out[solid] = self.data[_spans(self.start, size)]
+        return out, (last - size)[start], last[end - 1]
+
+
+#: Bytes or Words: the units of a batch.
+Units = Callable[[np.ndarray, np.ndarray], "Bytes | Words"]
+#: From contents (bytes, size and number of windows of each) to the class of each window of each, in turn.
+Method = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def sliding_argmin(values: np.ndarray, span: int) -> np.ndarray:
@@ -56,15 +99,15 @@ def sliding_argmin(values: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
-def runs(values: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: text, first window, windows, place of the anchor, hash of the anchor."""
+def runs(units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of `length` that show one window of `gram`: text, first window, windows, place and hash of what they show."""
     none = np.zeros(0, np.int64)
-    if len(values) < length:
+    if units.n < length:
         return none, none, none, none, np.zeros(0, np.uint64)
-    g = H.grams(values, gram)
-    at = sliding_argmin(g, length - gram + 1)[: len(values) - length + 1]
-    text = np.searchsorted(offsets, np.arange(len(at)), side="right") - 1
-    whole = np.flatnonzero(np.arange(len(at)) + length <= offsets[text + 1])
+    g = units.grams(gram)
+    at = sliding_argmin(g, length - gram + 1)[: units.n - length + 1]
+    text = np.searchsorted(units.offsets, np.arange(len(at)), side="right") - 1
+    whole = np.flatnonzero(np.arange(len(at)) + length <= units.offsets[text + 1])
     if not len(whole):
         return none, none, none, none, np.zeros(0, np.uint64)
     new = np.ones(len(whole), bool)
@@ -75,18 +118,27 @@ def runs(values: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     return text[start], start, count, at[start], g[at[start]]
 
 
-def _pack(kind: bool, shard: np.ndarray, ids: np.ndarray, text: np.ndarray, a, b, c, sizes=None, body=None) -> Iterator[dict]:
-    """A row for each shard. ids: (d, th) of each text; text, a, b, c: of each entry; sizes and body: content of each entry."""
+def _told(batch: pa.RecordBatch, units) -> np.ndarray:
+    """Which units begin a live window, by the batch's column `at`."""
+    lists = batch.column("at")
+    owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    out = np.zeros(units.n + 1, bool)
+    out[units.offsets[owner] + lists.flatten().to_numpy()] = True
+    return out
+
+
+def _pack(kind: bool, shard: np.ndarray, ids: np.ndarray, text: np.ndarray, a, b, c, starts=None, sizes=None, body=None) -> Iterator[dict]:
+    """A row for each shard. ids: (d, th) of each text; text, a, b, c: of each entry; starts, sizes, body: content of each entry."""
     order = np.lexsort((text, shard))
     if not len(order):
         return
     bounds = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    starts = np.concatenate([[0], np.cumsum(sizes)]) if sizes is not None else None
     for i, j in zip(bounds, [*bounds[1:], len(order)], strict=True):
         o = order[i:j]
         texts, counts = np.unique(text[o], return_counts=True)
         row = {"shard": int(shard[o[0]]), "settled": kind, "docs": squeeze(ids[texts].T), "counts": squeeze(counts.astype(np.uint32))}
         row |= {k: squeeze(x[o]) if x is not None else None for k, x in (("a", a), ("b", b), ("c", c))}
+        row["sizes"] = squeeze(sizes[o].astype(np.uint32)) if sizes is not None else None
         row["body"] = squeeze(body[_spans(starts[o], sizes[o])]) if sizes is not None else None
         yield row
 
@@ -115,66 +167,50 @@ def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
-_SCHEMA = pa.schema([("shard", pa.int32()), ("settled", pa.bool_()), *((n, pa.binary()) for n in ("docs", "counts", "a", "b", "c", "body"))])
+_SCHEMA = pa.schema([("shard", pa.int32()), ("settled", pa.bool_()), *((n, pa.binary()) for n in ("docs", "counts", "a", "b", "c", "sizes", "body"))])
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column("d").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
 
 
-def _content_hashes(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each content, some megabyte of body at a time."""
-    out = np.empty(len(size), np.uint64)
-    ends, i = begin + size, 0
-    while i < len(size):
-        j = max(i + 1, int(np.searchsorted(ends, begin[i] + (1 << 20), side="right")))
-        out[i:j] = H.ranges(H.prefix(H.BYTES[body[begin[i] : ends[j - 1]]]), begin[i:j] - begin[i], ends[i:j] - begin[i])
-        i = j
-    return out
-
-
 def _least(group: np.ndarray, n: int, d: np.ndarray) -> np.ndarray:
     low = np.full(n, np.iinfo(np.int64).max, np.int64)
     np.minimum.at(low, group, d)
     return low
 
 
-def _classes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(order, class of each entry, classes): entries with equal keys have one class."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order, number, int(new.sum())
-
-
-def live(rows: DataFrame, units: Units, length: int, gram: int, most: int) -> DataFrame:
-    """(d, th, at array<int>): places of the anchors that more than one document has. rows: d, th, text."""
+def live(rows: DataFrame, at: DataFrame | None, units: Units, lengths: tuple[int, ...], most: int) -> DataFrame:
+    """(d, th, at array<int>): places of the shown windows that more than one document has. rows: d, th, text; lengths: of
+    the windows that are live so far (by `at`), if there are any, of those looked up, of those that show them."""
     shards = SHARDS * tasks(rows)
+    gram, length = lengths[-2:]
+    source = rows.select("d", "th", "text") if at is None else rows.select("d", "th", "text").join(at, ["d", "th"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("hashes", H._powers.clear)
+        hold("repeats", lambda: None)
         for batch in sub_batches(batches, "text", most):
-            values, offsets, _ = units(*text_bytes(batch.column("text")))
+            u = units(*text_bytes(batch.column("text")))
             ids = _ids(batch)
-            text, _, _, at, fp = runs(values, offsets, length, gram)
+            text, start, _, at, fp = runs(u, length, gram)
+            if len(text) and len(lengths) > 2:
+                # Only windows around one that is live at the length before are still candidates.
+                shows = sliding_argmin(u.grams(lengths[-3]), gram - lengths[-3] + 1)
+                keep = _told(batch, u)[shows[at]]
+                text, at, fp = text[keep], at[keep], fp[keep]
             if not len(text):
                 continue
-            d, place = ids[text, 0], (at - offsets[text]).astype(np.uint32)
-            _, group, n = _classes(fp)
+            d, place = ids[text, 0], (at - u.offsets[text]).astype(np.uint32)
+            group, n = H.classes(fp)
             low = _least(group, n, d)
             high = -_least(group, n, -d)
             many = (low < high)[group]
             key, sub = (fp % np.uint64(shards)).astype(np.int32), (fp >> np.uint64(32)).astype(np.uint32)
             single = np.flatnonzero(~many)
             out = list(_pack(False, key[single], ids, text[single], sub[single], place[single], None))
-            # For an anchor of several documents: all its places are live; one entry a hash tells other batches.
+            # For one of several documents: all its places are live; one entry a hash tells other batches.
             told = np.flatnonzero(many)
-            out += _pack(True, (key[told] * 0 + text[told] % shards).astype(np.int32), ids, text[told], None, place[told], None)
+            out += _pack(True, (text[told] % shards).astype(np.int32), ids, text[told], None, place[told], None)
             one = told[np.unique(group[told], return_index=True)[1]]
             out += _pack(False, key[one], ids, text[one], sub[one], np.full(len(one), 2**32 - 1, np.uint32), None)
             yield _rows(out, _SCHEMA)
@@ -184,7 +220,7 @@ def live(rows: DataFrame, units: Units, length: int, gram: int, most: int) -> Da
         open_ = table.filter(pc.invert(table.column("settled")))
         d, th = _docs(open_)
         sub, place = _array("a", open_, np.uint32), _array("b", open_, np.uint32)
-        _, group, n = _classes(sub)
+        group, n = H.classes(sub)
         low, high = _least(group, n, d), -_least(group, n, -d)
         told = place == 2**32 - 1
         many = low < high
@@ -193,64 +229,39 @@ def live(rows: DataFrame, units: Units, length: int, gram: int, most: int) -> Da
         sd, sth = _docs(settled)
         return pa.table({"d": np.concatenate([d[keep], sd]), "th": np.concatenate([th[keep], sth]), "at": np.concatenate([place[keep], _array("b", settled, np.uint32)]).astype(np.int32)})
 
-    found = map_arrow(rows.select("d", "th", "text"), send, PACKED).groupBy("shard").applyInArrow(meet, "d long, th long, at int")
+    found = map_arrow(source, send, PACKED).groupBy("shard").applyInArrow(meet, "d long, th long, at int")
     return found.groupBy("d", "th").agg(F.collect_list("at").alias("at"))
 
 
-#: From contents of runs (body, where each begins, windows in each) to the class of each window of each, in turn.
-Method = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-#: From what units() gave and runs (first window, windows) to (sizes, body) of their contents.
-Content = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-
-
-def byte_content(length: int) -> Content:
-    def cut(source: np.ndarray, start: np.ndarray, count: np.ndarray):
-        return count + length - 1, source[_spans(start, count + length - 1)]
-
-    return cut
-
-
-def window_content(length: int) -> Content:
-    def cut(source: np.ndarray, start: np.ndarray, count: np.ndarray):
-        return 8 * count, H.grams(source, length)[_spans(start, count)].view(np.uint8)
-
-    return cut
-
-
-def repeated(rows: DataFrame, at: DataFrame, units: Units, length: int, gram: int, content: Content, method: Method, most: int) -> DataFrame:
+def repeated(rows: DataFrame, at: DataFrame, units: Units, lengths: tuple[int, ...], method: Method, most: int) -> DataFrame:
     """(d, th, start, n): runs of windows (first, how many) that also start in a smaller document."""
     shards = SHARDS * tasks(rows)
+    gram, length = lengths[-2:]
     joined = rows.select("d", "th", "text").join(at, ["d", "th"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("hashes", H._powers.clear)
+        hold("repeats", lambda: None)
         for batch in sub_batches(batches, "text", most):
-            values, offsets, source = units(*text_bytes(batch.column("text")))
+            u = units(*text_bytes(batch.column("text")))
             ids = _ids(batch)
-            text, start, count, place, fp = runs(values, offsets, length, gram)
+            text, start, count, place, fp = runs(u, length, gram)
             if not len(text):
                 continue
-            lists = batch.column("at")
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            is_live = np.zeros(len(values) + 1, bool)
-            is_live[offsets[owner] + lists.flatten().to_numpy()] = True
-            keep = is_live[place]
+            keep = _told(batch, u)[place]
             text, start, count, fp = text[keep], start[keep], count[keep], fp[keep]
             if not len(text):
                 continue
-            inside = H.ranges(H.prefix(values), start, start + count + length - 1)
-            d, first = ids[text, 0], (start - offsets[text]).astype(np.uint32)
-            _, group, n = _classes(fp, inside)
-            low = _least(group, n, d)
-            least = d == low[group]
+            body, begin, end = u.contents(start, start + count + length - 1)
+            d, first, sizes = ids[text, 0], (start - u.offsets[text]).astype(np.uint32), end - begin
+            group, n = H.exact(body, begin, end, fp, H.spans(body, begin, end))
+            least = d == _least(group, n, d)[group]
             out = []
             done = np.flatnonzero(~least)
             out += _pack(True, (text[done] % shards).astype(np.int32), ids, text[done], None, first[done], count[done].astype(np.uint32))
             open_ = np.flatnonzero(least)
-            sizes, body = content(source, start[open_], count[open_])
             key = (fp[open_] % np.uint64(shards)).astype(np.int32)
             sub = (fp[open_] >> np.uint64(32)).astype(np.uint32)
-            out += _pack(False, key, ids, text[open_], sub, first[open_], count[open_].astype(np.uint32), sizes, body)
+            out += _pack(False, key, ids, text[open_], sub, first[open_], count[open_].astype(np.uint32), begin[open_], sizes[open_], body)
             yield _rows(out, _SCHEMA)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -260,13 +271,10 @@ def repeated(rows: DataFrame, at: DataFrame, units: Units, length: int, gram: in
         sub = _array("a", open_, np.uint32)
         first, count = _array("b", open_, np.uint32).astype(np.int64), _array("c", open_, np.uint32).astype(np.int64)
         body = _array("body", open_, np.uint8)
-        size = content_sizes(count)
+        size = _array("sizes", open_, np.uint32).astype(np.int64)
         begin = np.cumsum(size) - size
-        inside = _content_hashes(body, begin, size)
-        _, group, n = _classes(sub, inside)
-        low = _least(group, n, d)
-        rep = np.full(n, -1, np.int64)
-        rep[group[::-1]] = np.arange(len(group))[::-1]
+        group, n = H.exact(body, begin, begin + size, sub, H.spans(body, begin, begin + size))
+        low, rep = _least(group, n, d), H.firsts(group, n)
         # Anchors with one content need no comparison; the contents of the others are compared window by window.
         of_anchor = np.unique(sub[rep], return_inverse=True)[1] if n else np.zeros(0, np.int64)
         mixed = np.flatnonzero(np.bincount(of_anchor, minlength=1)[of_anchor] > 1) if n else np.zeros(0, np.int64)
@@ -302,20 +310,18 @@ def repeated(rows: DataFrame, at: DataFrame, units: Units, length: int, gram: in
         sb, sc = _array("b", settled, np.uint32), _array("c", settled, np.uint32)
         return pa.table({"d": np.concatenate([d[entry[i]], sd]), "th": np.concatenate([th[entry[i]], sth]), "start": np.concatenate([place[i], sb]).astype(np.int32), "n": np.concatenate([j - i + 1, sc]).astype(np.int32)})
 
-    def content_sizes(count: np.ndarray) -> np.ndarray:
-        probe = content(np.zeros(length, np.uint8 if units is byte_units else np.uint64), np.zeros(1, np.int64), np.ones(1, np.int64))
-        one = int(probe[0][0])
-        return count + one - 1 if units is byte_units else one * count
-
     return map_arrow(joined, send, PACKED).groupBy("shard").applyInArrow(meet, "d long, th long, start int, n int")
 
 
-def marked(df: DataFrame, units: Units, length: int, gram: int, content: Content, method: Method, *, id_col: str, text_col: str, most: int) -> DataFrame:
+def marked(df: DataFrame, units: Units, lengths: tuple[int, ...], method: Method, *, id_col: str, text_col: str, most: int) -> DataFrame:
     """(d, th, doc_id, text, runs array<struct<start, n>>) of every row of df; runs is null where there are none."""
     rows = keyed(df, id_col, text_col)
-    found = repeated(rows, live(rows, units, length, gram, most), units, length, gram, content, method, most)
+    at, known = None, ()
+    for gram, length in pairwise(lengths):
+        at, known = live(rows, at, units, (*known, gram, length), most), (gram,)
+    found = repeated(rows, at, units, lengths, method, most)
     by_doc = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    # The same exchange of (d, th, text) serves this join and the one in repeated().
+    # The same exchange of (d, th, text) serves this join and the ones before.
     joined = rows.select("d", "th", "text").join(by_doc, ["d", "th"], "left")
     return joined.select("d", "th", F.when(F.col("d") != LAST_ID, F.col("d")).alias("doc_id"), "text", "runs")
 

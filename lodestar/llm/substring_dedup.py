@@ -1,15 +1,17 @@
 """Substring dedup by level-wise doubling: words that lie in a window of `length` words which also starts in a document
 with a smaller id.
 
-Windows of half the length come first: of every window of full length, the half-length window with the least hash is
-looked up in all documents (see repeats.py). Only where one of those repeats are windows of twice that length made and
-compared; where none does, no candidate survives and nothing more is read of the text. `levels` tells how often the
-length is halved to find the first level; each level is extended to the next only around windows that repeat.
+`levels(length)` halves the length down to `SHORT` words or less. Windows of the shortest length are looked up in all
+documents; only where one is repeated are windows of the next length made and looked up, and so on, until the full length
+is reached or no candidate survives (see repeats.py: of each window of the next length, the window with the least hash in
+it is what is looked up). At the full length what still stands is compared by its words: they are numbered by their
+bytes, and numbers of 1, 2, 4 … words in a row are named anew by pairs of names, again only where both names repeat.
 
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D, compared as they are. Windows are judged on the input.
 
-Defined cases: null text has no words; a null id counts as greater than all others and rows without id don't precede
-each other; rows that repeat an id don't precede each other, either.
+Defined cases: null text has no words; a null id counts as greater than all others and rows without id don't precede each
+other; rows that repeat an id don't precede each other, either; an empty table gives an empty result; texts may be of
+any length, memory grows with the longest; other columns of the table are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -19,28 +21,59 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
 from lodestar.llm import repeats
 from lodestar.llm.common import map_arrow, sub_batches, table, text_bytes
 
 BATCH = 1 << 22
-
-
-def by_hash(body: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Windows of the doubled length are equal if their 64-bit hashes are."""
-    return np.unique(body.view(np.uint64), return_inverse=True)[1]
+SHORT = 16
+
+
+def levels(length: int) -> tuple[int, ...]:
+    """Window lengths from the first level to the last, each at most twice the one before; two at least."""
+    out = [length, max(1, -(-length // 2))]
+    while out[-1] > SHORT:
+        out.append(-(-out[-1] // 2))
+    return tuple(out[::-1])
+
+
+def by_doubling(length: int) -> repeats.Method:
+    def method(body: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        gaps = np.flatnonzero(body == 32)
+        start = np.sort(np.concatenate([ends - sizes, gaps + 1]))
+        end = np.sort(np.concatenate([ends, gaps]))
+        name, n = H.exact(body, start, end, H.spans(body, start, end))
+        first = np.cumsum(windows + length - 1) - (windows + length - 1)
+        at = repeats._spans(first, windows)
+        have = 1
+        while have < length:
+            step = min(have, length - have)
+            left, right = name[:-step], name[step:]
+            both = np.flatnonzero((left >= 0) & (right >= 0))
+            key, of, times = np.unique(left[both] * n + right[both], return_inverse=True, return_counts=True)
+            name, n = np.full(len(left), -1, np.int64), max(1, len(key))
+            # A window that occurs once has no name: nothing longer that holds it can repeat.
+            name[both] = np.where(times[of] > 1, of, -1)
+            have += step
+        out = name[at]
+        alone = out < 0
+        out[alone] = n + np.arange(int(alone.sum()))
+        return out
+
+    return method
 
 
 def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept (the words that stay, joined by a space)) of every row."""
-    half = max(1, length // 2)
-    rows = repeats.marked(df, repeats.word_units, length, half, repeats.window_content(length), by_hash, id_col=id_col, text_col=text_col, most=BATCH)
+    rows = repeats.marked(df, repeats.Words, levels(length), by_doubling(length), id_col=id_col, text_col=text_col, most=BATCH)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text", BATCH):
             data, offsets = text_bytes(batch.column("text"))
-            start, end, _, at = H.words(data, offsets)
+            start, end, at = H.bounds(data, offsets)
             gone = repeats.covered(batch, at, len(start), length)
             raw, out = data.tobytes(), []
             for i in range(batch.num_rows):
@@ -55,13 +88,9 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leng
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-
-
 ORACLE_SQL = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
 win as (select doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') s from (select doc_id, ws, unnest(range(1, len(ws) - 48)) i from w)),

@@ -38,8 +38,7 @@ def by_suffixes(length: int) -> repeats.Method:
 
 def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<start, end>>) of every row; spans are removed."""
-    gram = max(1, length // 3)
-    rows = repeats.marked(df, repeats.byte_units, length, gram, repeats.byte_content(length), by_suffixes(length), id_col=id_col, text_col=text_col, most=BATCH)
+    rows = repeats.marked(df, repeats.Bytes, (max(1, length // 3), length), by_suffixes(length), id_col=id_col, text_col=text_col, most=BATCH)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
