@@ -9,7 +9,9 @@ benchmark's windows by their words. Only DataFrame functions are used.
 Words: A-Z in lower case, then runs of characters other than ASCII non-alphanumerics.
 
 Defined cases: a null text has no words, a null item no windows; an item may occur twice and counts under its id once; a
-null item_id is left out of the id list but its words are hit; repeated documents give a row each; null ids stay null.
+null item_id is left out of the id list but its words are hit; repeated documents give a row each; null ids stay null; an
+empty table gives an empty result, an empty benchmark hits nothing; texts may be of any length (a text is one row of
+arrays, so memory grows with the longest); other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -28,11 +30,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BREAK), "")
 
 
-def folded_words(text: Column) -> Column:
-    """As words(), with all letters folded: as many, equal where those are equal, and faster to make."""
-    return F.array_remove(F.split(F.lower(text), BREAK), "")
-
-
 def grams(ws: Column, length: int) -> Column:
     """Hashes of the k-grams for windows of `length` words, by place. ws: word hashes."""
     k = min(GRAM, length)
@@ -63,24 +60,25 @@ def _count(ws: Column) -> Column:
 def hits(docs: DataFrame, items: DataFrame, *, length: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, hits): (d, th, doc_id, n_words) of every row, and (d, th, s, len, item_id) of every window found."""
     spark = docs.sparkSession
-    bench = cut(items.select(F.col(item_col).cast("long").alias("item_id"), words(F.coalesce(F.col(item_text), F.lit(""))).alias("ws"), hashed(folded_words(F.coalesce(F.col(item_text), F.lit("")))).alias("hs")).where(F.size("ws") > 0))
+    bench = cut(items.select(F.col(item_col).cast("long").alias("item_id"), words(F.coalesce(F.col(item_text), F.lit(""))).alias("ws"), hashed(words(F.coalesce(F.col(item_text), F.lit("")))).alias("hs")).where(F.size("ws") > 0))
     lengths = sorted(r[0] for r in bench.select(F.least(F.size("ws"), F.lit(length)).alias("n")).distinct().collect())
     rows = keyed(docs, id_col, text_col)
-    ws = hashed(folded_words(F.col("text")))
+    ws = hashed(words(F.col("text")))
     if not lengths:
         none = spark.createDataFrame([], "d long, th long, s int, len int, item_id long")
         return rows.select("d", "th", "doc_id", F.size(ws).cast("long").alias("n_words")), none
 
     of = lambda n: bench.where(F.least(F.size("ws"), F.lit(length)) == n)
     every = lambda hs: F.flatten(F.array(*(prints(grams(hs, n), n) for n in lengths)))
-    # A row for each fingerprint, and one without for the document itself.
+    # A row for each fingerprint, and one without for the document itself, under a key of its own.
     shown = rows.select("d", "th", "doc_id", ws.alias("hs")).select("d", "th", "doc_id", F.size("hs").cast("long").alias("n_words"), F.explode(F.array_append(every(F.col("hs")), F.lit(None).cast("long"))).alias("fp"))
+    shown = shown.withColumn("key", F.coalesce("fp", F.xxhash64("d", "th")))
     own = None
     for n in lengths:
         part = of(n).select(F.explode(prints(grams(F.col("hs"), n), n)).alias("fp"))
         own = part if own is None else own.unionByName(part)
-    own = small(cut(own.distinct().withColumn("shared", F.lit(True))))
-    found = cut(shown.join(own, "fp", "left").where("fp is null or shared").drop("shared"))
+    own = small(cut(own.distinct().select(F.col("fp").alias("key"), F.lit(True).alias("shared"))))
+    found = cut(shown.join(own, "key", "left").where("fp is null or shared").drop("key", "shared"))
     documents = found.where("fp is null").select("d", "th", "doc_id", "n_words")
     shared = small(cut(found.where("fp is not null").groupBy("d", "th").agg(F.collect_set("fp").alias("fps"))), 20_000)
 
@@ -92,7 +90,7 @@ def hits(docs: DataFrame, items: DataFrame, *, length: int = 10, id_col: str = "
         starts = F.filter(F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - (span - 1), F.lit(0)), p)))), lambda s: s <= last)
         return windows(F.col(ws), n, starts)
 
-    near = rows.select("d", "th", "text").join(shared, ["d", "th"]).select("d", "th", "fps", words(F.col("text")).alias("ws"), hashed(folded_words(F.col("text"))).alias("hs"))
+    near = rows.select("d", "th", "text").join(shared, ["d", "th"]).select("d", "th", "fps", words(F.col("text")).alias("ws"), hashed(words(F.col("text"))).alias("hs"))
     near = near.select("d", "th", F.explode(F.flatten(F.array(*(around(n, "ws", "hs") for n in lengths)))).alias("w")).select("d", "th", "w.*")
     own = None
     for n in lengths:

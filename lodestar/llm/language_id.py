@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import hold, map_arrow, sub_batches, table
 
 UND = "und"
+ADDED = ("lang_pred", "score", "bits")
 SEPARATOR, UNSEEN = 0, 1
 
 
@@ -206,7 +207,7 @@ def _forget() -> None:
 def identify(df: DataFrame, texts: dict[str, str], *, text_col: str = "text", block: int = 1024, prefix: str = "") -> DataFrame:
     """df with lang_pred, score and bits (a symbol) added, in place of columns so named; texts: labelled text for each
     language, from sample()."""
-    df = df.drop(*(prefix + c for c in ("lang_pred", "score", "bits")))
+    df = df.drop(*(prefix + c for c in ADDED))
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     out = StructType([*df.schema.fields, StructField(prefix + "lang_pred", StringType()), StructField(prefix + "score", DoubleType()), StructField(prefix + "bits", DoubleType())])

@@ -6,7 +6,9 @@ more than one place is removed everywhere but at its first place, by (doc_id, pl
 candidates; what is removed is grouped by its bytes. Only DataFrame functions are used.
 
 Defined cases: null text is empty (one empty line); rows that repeat id and text are one document for this and all keep
-or lose the same lines; null ids come after all others; lines end at \\n only, so a \\r is part of its line.
+or lose the same lines; null ids come after all others; lines end at \\n only, so a \\r is part of its line; an empty table
+gives an empty result; a text may be of any length (its lines are one array, so memory grows with the longest); other
+columns pass through, whatever their names, but for those that are added.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import LAST_ID
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 200_000  # rows of a few numbers, some 10 MB at most
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,6 +25,22 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64(text).alias("th"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most `most` rows (it is counted; df should be a table that is read back)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df has."""
+    out = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            out = out + F.octet_length(F.to_json(F.struct(f.name)))
+        else:
+            out = out + 8
+    return out
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows and `most_bytes` bytes (both are counted; df should be a table that
+    is read back)."""
+    n, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= most_bytes else df
