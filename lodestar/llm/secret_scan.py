@@ -6,13 +6,18 @@ Base kinds, each matched from left to right without overlap: `assign` (a credent
 The kind `guess` adds values after a wider set of credential words. A value's cost is the least sum over its
 segmentations into dictionary words, dates, repeats, keyboard walks and brute-force spans of the decimal logarithm of the
 guesses each part takes (dynamic programming over the value's positions; brute force is extended by one character at a
-time, so that the work is linear in the value's length). Values that cost at least `min_cost` are reported; a cheap
-value is a placeholder or prose.
+time and other parts have at most `PART` characters, so that the work is linear in the value's length). Values that cost
+at least `min_cost` are reported; a cheap value is a placeholder or prose.
+
+The dictionary has frequent passwords and, after them, the corpus's own words by their frequency in all its texts
+(`learned`: a word has to occur `least` times, and the `most` most frequent ones are taken; both are parameters).
 
 Spans are start and end in code points, end exclusive, of the whole match (of the value, for `guess`).
 
 Defined cases: null text is empty and has no spans; repeated rows give a row each; a null id stays null; a text without
-spans has the hash of the empty string.
+spans has the hash of the empty string; an empty table gives an empty result; texts and values may be of any length
+(memory grows with the longest text); words of one frequency are ranked by name; other columns are neither read nor
+returned.
 """
 
 from __future__ import annotations
@@ -53,6 +58,7 @@ WORDS = (
     "white", "king", "queen", "tiger", "eagle", "correct", "horse", "battery", "staple",
 )
 
+PART = 32  # characters of a part that is no brute force, at most; longer runs are several parts
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4310$57!", "aaeiosstl")
 
@@ -70,60 +76,88 @@ def _adjacent() -> set[tuple[str, str]]:
     return out
 
 
-@lru_cache(maxsize=4)
-def _ranks(words: tuple[str, ...]) -> tuple[dict[str, int], int]:
-    return {w: i + 1 for i, w in reversed(list(enumerate(words)))}, max(map(len, words), default=0)
+#: The rank of each word, from 1, and the length of the longest.
+Ranks = tuple[dict[str, int], int]
+
+
+def ranked(words: tuple[str, ...]) -> Ranks:
+    return {w: i + 1 for i, w in reversed(list(enumerate(words)))}, min(PART, max(map(len, words), default=0))
+
+
+@lru_cache(maxsize=1)
+def _plain() -> Ranks:
+    return ranked(WORDS)
+
+
+def learned(df: DataFrame, *, text_col: str = "text", most: int = 10_000, least: int = 20) -> tuple[str, ...]:
+    """WORDS, and then the most frequent words of all texts: runs of 3 to 24 letters a-z, in lower case."""
+    found = df.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z]+")).alias("w")).where("length(w) between 3 and 24")
+    found = found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most)
+    known = set(WORDS)
+    return (*WORDS, *(r[0] for r in found.collect() if r[0] not in known))
 
 
 def _class_size(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 1000
 
 
-def guess_cost(value: str, words: tuple[str, ...] = WORDS) -> float:
+def guess_cost(value: str, ranks: Ranks | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation of value takes; 0 for an empty value."""
-    return _cheapest(value, words)[0]
+    return _cheapest(value, ranks or _plain())[0]
 
 
-def segments(value: str, words: tuple[str, ...] = WORDS) -> list[tuple[str, int, int]]:
+def segments(value: str, ranks: Ranks | None = None) -> list[tuple[str, int, int]]:
     """The cheapest segmentation: (kind, start, end) of each part."""
-    return _cheapest(value, words)[1]
+    return _cheapest(value, ranks or _plain())[1]
+
+
+def _dates(value: str) -> dict[int, list[tuple[str, int, float]]]:
+    """For each end, the dates that end there."""
+    out: dict[int, list[tuple[str, int, float]]] = {}
+    digit = [c in "0123456789" for c in value]
+    for i in range(len(value) - 3):
+        if digit[i]:
+            for j in range(i + 4, min(len(value), i + 10) + 1):
+                if digit[j - 1] and DATE.fullmatch(value, i, j):
+                    out.setdefault(j, []).append(("date", i, math.log10(365 * 120) if j - i > 4 else 2.1))
+    return out
+
+
+def walk_cost(n: int) -> float:
+    return math.log10(47 * 4 ** min(3, n // 3) * n)
+
 
+def repeat_cost(c: str, n: int) -> float:
+    return math.log10(_class_size(c) * n)
 
-def _cheapest(value: str, words: tuple[str, ...]) -> tuple[float, list[tuple[str, int, int]]]:
-    ranks, longest = _ranks(words)
-    n, low = len(value), value.lower()
+
+def _cheapest(value: str, ranks: Ranks) -> tuple[float, list[tuple[str, int, int]]]:
+    rank, longest = ranks
+    n, low = len(value), "".join(c.lower() if c.isascii() else c for c in value)
     plain = low.translate(LEET)
     part = math.log10(2)  # a guesser has to try where parts end
-    # best[i]: cheapest cost of value[:i]; brute[i]: the same if its last part is a brute-force span.
-    best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
+    # best[i]: cheapest cost of value[:i]; brute: the same if its last part is a brute-force span from brute_from on.
+    best, brute, brute_from = [0.0] + [math.inf] * n, math.inf, 0
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
-    brute_from = [0] * (n + 1)
-    ends: dict[int, list[tuple[str, int, float]]] = {}
-    for m in DATE.finditer(value):
-        ends.setdefault(m.end(), []).append(("date", m.start(), math.log10(365 * 120) if m.end() - m.start() > 4 else 2.1))
+    dates = _dates(value)
     walk = repeat = 0  # where the runs that end at i - 1 began
     near = _adjacent()
     for i in range(1, n + 1):
         c = value[i - 1]
-        if best[i - 1] + part <= brute[i - 1]:
-            brute[i], brute_from[i] = best[i - 1] + part, i - 1
-        else:
-            brute[i], brute_from[i] = brute[i - 1], brute_from[i - 1]
-        brute[i] += math.log10(_class_size(c))
-        best[i], back[i] = brute[i], ("brute", brute_from[i])
-        found = ends.get(i, [])
+        if best[i - 1] + part <= brute:
+            brute, brute_from = best[i - 1] + part, i - 1
+        brute += math.log10(_class_size(c))
+        found = list(dates.get(i, ()))
         if i > 1:
             walk = walk if (low[i - 2], low[i - 1]) in near else i - 1
             repeat = repeat if low[i - 2] == low[i - 1] else i - 1
-        if i - walk >= 3:
-            found = [*found, ("walk", walk, math.log10(47 * 4 ** min(3, (i - walk) // 3) * (i - walk)))]
-        if i - repeat >= 3:
-            found = [*found, ("repeat", repeat, math.log10(_class_size(c) * (i - repeat)))]
+        found += [("walk", j, walk_cost(i - j)) for j in range(max(walk, i - PART), i - 2)]
+        found += [("repeat", j, repeat_cost(low[j], i - j)) for j in range(max(repeat, i - PART), i - 2)]
         for j in range(max(0, i - longest), i - 2):
-            for kind, text, extra in (("word", low, 0.0), ("word", plain, 0.3)):
-                if r := ranks.get(text[j:i]):
-                    upper = 0.0 if value[j:i] == text[j:i] else 0.3
-                    found = [*found, (kind, j, math.log10(r + 1) + extra + upper)]
+            for text, extra in ((low, 0.0), (plain, 0.3)):
+                if r := rank.get(text[j:i]):
+                    found.append(("word", j, math.log10(r + 1) + extra + (0.0 if value[j:i] == text[j:i] else 0.3)))
+        best[i], back[i] = brute, ("brute", brute_from)
         for kind, j, cost in found:
             if best[j] + cost + part < best[i]:
                 best[i], back[i] = best[j] + cost + part, (kind, j)
@@ -132,10 +166,10 @@ def _cheapest(value: str, words: tuple[str, ...]) -> tuple[float, list[tuple[str
         kind, j = back[i]
         out.append((kind, j, i))
         i = j
-    return best[n] if n else 0.0, out[::-1]
+    return best[n], out[::-1]
 
 
-def find(text: str, *, min_cost: float = 9.0, words: tuple[str, ...] = WORDS) -> list[tuple[str, int, int]]:
+def find(text: str, *, min_cost: float = 9.0, ranks: Ranks | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start, then kind as listed."""
     low = text.lower() if text.isascii() else None
     has = (lambda ws: any(w in low for w in ws)) if low is not None else (lambda ws: True)
@@ -146,7 +180,7 @@ def find(text: str, *, min_cost: float = 9.0, words: tuple[str, ...] = WORDS) ->
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
     if has(CONTEXT_WORDS):
-        out += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], words) >= min_cost]
+        out += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], ranks) >= min_cost]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -159,8 +193,9 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_c
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = ranked(words)
         for batch in sub_batches(batches, "text", 1 << 22):
-            found = [[{"kind": k, "start": a, "end": b} for k, a, b in find(x or "", min_cost=min_cost, words=words)] for x in batch.column("text").to_pylist()]
+            found = [[{"kind": k, "start": a, "end": b} for k, a, b in find(x or "", min_cost=min_cost, ranks=ranks)] for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(span))], ["doc_id", "spans"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -172,10 +207,9 @@ def _is(kind: str):
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, words=learned(docs))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     base = F.filter("spans", lambda s: s.kind != "guess")
     n = [F.size(F.filter(F.transform("spans", lambda s: s.kind), _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *n, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
-
-
+    return found.select("doc_id", *n[:3], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), n[3])
