@@ -3,7 +3,12 @@
 The lattice over a text has an edge for every vocabulary piece (or byte-fallback character) between two positions. The
 pass keeps, for each position of a window as long as the longest piece, the surviving path that ends there, as the id of
 its last piece. When all surviving paths of the window lead back through one boundary, the ids before it are committed
-and forgotten, so memory is bounded by the window and the ids not yet agreed on, not by the text.
+and forgotten, so the pass holds the window and the ids not yet agreed on, not the text.
+
+No piece of most models has the white space escape after another character, so all paths meet before each escape. What
+stands between two such boundaries is a stretch, and ids are committed at its end, too. Texts are fed in blocks; the
+pass runs over each stretch (long ones are committed window by window inside), and a worker remembers the ids of the
+stretches it has seen, so that equal ones share one run.
 
 For a unigram model a path's value is the sum of its piece scores and the best path survives. For a merge (BPE) model a
 path survives if each neighbouring pair of pieces is one that the merges themselves would leave side by side; there is
@@ -14,11 +19,14 @@ no other normalisation (models whose normaliser has a rule table are refused). D
 the escape back and drops the dummy prefix; bytes that are no UTF-8 become U+FFFD.
 
 Defined cases: null text counts as empty and gives no ids; a literal escape character (U+2581) in a text decodes to a
-space, as in the library; repeated rows give a row each; a null id stays null.
+space, as in the library, so that decoding does not give the text back; repeated rows give a row each; a null id stays
+null; an empty table gives an empty result; texts may be of any length (the pass is bounded, a row's text and ids are
+whole); other columns pass through, whatever their names, but for those that are added.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,10 +39,12 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 from lodestar.llm.common import hold, map_arrow, sub_batches, table
 
 SPACE = "▁"
+BOUNDARY = re.compile(f"[^{SPACE}]{SPACE}")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model file
 HEAD = 7  # characters over which texts that begin alike share their steps
 PAIR = (2,)  # lengths to try, longest first, for a tail in which no longer piece ends
-MEMO = 600_000  # words whose ids a worker keeps, some 100 MB; the memo starts anew beyond that
+MEMO = 600_000  # stretches whose ids a worker keeps, some 100 MB; the memo starts anew beyond that
+BLOCK = 1 << 16  # characters of a text that are fed at a time
 
 
 class Model:
@@ -104,44 +114,18 @@ class Model:
             return tuple(self.byte[b] for b in piece.encode("utf-8", "surrogatepass"))
         return (self.unk,)
 
-    def escaped(self, text: str) -> str:
-        text = text.replace(" ", SPACE)
-        return SPACE + text if text and self.prefix else text
-
     def encode(self, text: str) -> list[int]:
-        """Ids of a text. Pieces never hold an escape after another character, so each word's ids come from one run of
-        the streaming pass; equal words share it."""
-        if not text:
-            return []
-        whole = self.escaped(text)
-        if self.crosses:
-            return Stream(self).all(whole)
-        words = whole.split(SPACE)
-        if words[0] or "" in words[1:]:
-            return self._runs(words)
-        # One escape before each word: the memo is by what follows it.
-        memo = self.memo
-        parts = list(map(memo.get, words[1:]))
-        if None in parts:
-            parts = [self._word(w) if ids is None else ids for w, ids in zip(words[1:], parts, strict=True)]
-        return list(chain.from_iterable(parts))
-
-    def _runs(self, words: list[str]) -> list[int]:
-        """The same where runs of escapes, or none, stand before a word."""
-        out = Stream(self).all(words[0]) if words[0] else []
-        gap = 0
-        for w in words[1:]:
-            gap += 1
-            if w:
-                out += self._word(w) if gap == 1 else Stream(self).all(SPACE * gap + w)
-                gap = 0
-        return out + Stream(self).all(SPACE * gap) if gap else out
+        """Ids of a text."""
+        stream, out = Stream(self), []
+        for at in range(0, len(text), BLOCK):
+            out += stream.feed(text[at : at + BLOCK], at + BLOCK >= len(text))
+        return out
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word with one escape before it."""
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of the stretch of one escape and a word."""
         ids = self.memo.get(word)
         if ids is None:
-            ids = tuple(Stream(self).all(SPACE + word))
+            ids = tuple(Window(self).all(SPACE + word))
             if len(word) <= 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -178,7 +162,75 @@ def _utf8(raw: bytes) -> str:
 
 
 class Stream:
-    """One text, character by character. feed() gives the ids committed so far, close() the rest."""
+    """One text, block by block. feed() gives the ids committed so far."""
+
+    def __init__(self, model: Model):
+        self.m = model
+        self.begun = False
+        self.tail = ""  # from the start of the last stretch on
+        self.window: Window | None = None  # of a stretch of which a part is committed already
+        self.before = ""  # the last character that the window has seen
+
+    def feed(self, block: str, last: bool) -> list[int]:
+        """last: the text ends with this block."""
+        m = self.m
+        block = block.replace(" ", SPACE)
+        if block and not self.begun:
+            self.begun = True
+            block = SPACE + block if m.prefix else block
+        out: list[int] = []
+        text, self.tail = self.tail + block, ""
+        if self.window and text:
+            found = None if m.crosses else BOUNDARY.search(self.before + text)
+            end = found.start() if found else len(text)
+            out += self.window.feed(text[:end])
+            self.before, text = text[-1], text[end:]
+            if text or last:
+                out += self.window.close()
+                self.window = None
+            if not text:
+                return out
+        end = len(text) if last and not m.crosses else 0 if m.crosses else len(text[: text.rfind(SPACE) + 1].rstrip(SPACE))
+        out += self._stretches(text[:end])
+        text = text[end:]
+        if len(text) > 4 * m.longest or (m.crosses and text):
+            self.window, self.before = Window(m), text[-1]
+            out += self.window.feed(text)
+            if last:
+                out += self.window.close()
+        else:
+            self.tail = text
+        return out
+
+    def _stretches(self, text: str) -> list[int]:
+        """Ids of whole stretches."""
+        if not text:
+            return []
+        m = self.m
+        words = text.split(SPACE)
+        if words[0] or "" in words[1:]:
+            return self._spaced(words)
+        # One escape before each word: the memo is by what follows it.
+        parts = list(map(m.memo.get, words[1:]))
+        if None in parts:
+            parts = [m.word(w) if ids is None else ids for w, ids in zip(words[1:], parts, strict=True)]
+        return list(chain.from_iterable(parts))
+
+    def _spaced(self, words: list[str]) -> list[int]:
+        """The same where runs of escapes, or none, stand before a word."""
+        m = self.m
+        out = Window(m).all(words[0]) if words[0] else []
+        gap = 0
+        for w in words[1:]:
+            gap += 1
+            if w:
+                out += m.word(w) if gap == 1 else Window(m).all(SPACE * gap + w)
+                gap = 0
+        return out + Window(m).all(SPACE * gap) if gap else out
+
+
+class Window:
+    """The pass itself, character by character: feed() gives the ids committed so far, close() the rest."""
 
     def __init__(self, model: Model):
         self.m = model
@@ -188,52 +240,51 @@ class Stream:
 
     def feed(self, chars: str) -> list[int]:
         out: list[int] = []
-        most = 4 * self.m.longest  # what is not agreed on is looked at again after every so many characters
+        m = self.m
+        most = 4 * m.longest  # what is not agreed on is looked at again after every so many characters
         for at in range(0, len(chars), most):
-            known = len(self.text)
-            self.text += chars[at : at + most]
-            for i in range(known + 1, len(self.text) + 1):
-                self._step(i)
+            part = chars[at : at + most]
+            if m.merges:
+                if not self.text and not self.last[0] and len(part) > HEAD:
+                    self.last = self._head(part[:HEAD])
+                self.text += part
+                self._survivors(self.text, self.last)
+            else:
+                known = len(self.text)
+                self.text += part
+                for i in range(known + 1, len(self.text) + 1):
+                    self._step(i)
             if len(self.text) > most:
                 out += self._commit()
         return out
 
     def close(self) -> list[int]:
-        out = [k for p in self._path(len(self.text)) for k in self.m.units(p)]
-        self.__init__(self.m)
-        return out
-
-    def all(self, text: str) -> list[int]:
-        if self.m.merges and len(text) <= 4 * self.m.longest:
-            return self._at_once(text)
-        return self.feed(text) + self.close()
-
-    def _at_once(self, text: str) -> list[int]:
-        """A text within one window: the same steps as feed() takes, without commits between. A path depends on what is
-        before it alone, so texts that begin alike share the steps over their first characters."""
-        m = self.m
-        if len(text) > HEAD:
-            known = m.heads.get(text[:HEAD])
-            if known is None:
-                if len(m.heads) >= MEMO // 4:
-                    m.heads.clear()
-                known = m.heads[text[:HEAD]] = tuple(self._survivors(text[:HEAD], [""]))
-            last = self._survivors(text, list(known))
-        else:
-            last = self._survivors(text, [""])
-        ids = m.ids
+        units, ids = self.m.units, self.m.ids
         out: list[int] = []
-        i = len(text)
+        i = len(self.text)
         while i:
-            piece = last[i]
+            piece = self.last[i]
             k = ids.get(piece)
             if k is None:
-                out += m.units(piece)[::-1]
+                out += units(piece)[::-1]
             else:
                 out.append(k)
             i -= len(piece)
         return out[::-1]
 
+    def all(self, text: str) -> list[int]:
+        return self.feed(text) + self.close()
+
+    def _head(self, head: str) -> list[str]:
+        """What survives over the first characters. It depends on them alone, so stretches that begin alike share it."""
+        m = self.m
+        known = m.heads.get(head)
+        if known is None:
+            if len(m.heads) >= MEMO // 4:
+                m.heads.clear()
+            known = m.heads[head] = tuple(self._survivors(head, [""]))
+        return list(known)
+
     def _survivors(self, text: str, last: list[str]) -> list[str]:
         """last, up to the end of text."""
         m = self.m
@@ -255,22 +306,9 @@ class Stream:
         return last
 
     def _step(self, i: int) -> None:
-        """The last piece of the path that survives at position i."""
+        """The last piece of the best path to position i, by scores."""
         m, text, last = self.m, self.text, self.last
         ids = m.ids
-        if m.merges:
-            pairs = m.pairs
-            for n in m.tails.get(text[i - 3 : i], PAIR) if i > 2 else PAIR[: i - 1]:
-                if n <= i:
-                    piece = text[i - n : i]
-                    if piece in ids:
-                        before = last[i - n]
-                        fit = pairs.get((before, piece)) if before else True
-                        if fit or (fit is None and m.fits(before, piece)):
-                            last.append(piece)
-                            return
-            last.append(text[i - 1])
-            return
         best, found = self.value[i - 1] + (m.score[ids[text[i - 1]]] if text[i - 1] in ids else m.low), text[i - 1]
         for j in range(max(0, i - m.longest), i - 1):
             piece = text[j:i]
@@ -301,7 +339,7 @@ class Stream:
         # The piece before the boundary stays known: it decides which pieces may follow.
         before = self.last[shared]
         self.text, self.last = self.text[shared:], [before, *self.last[shared + 1 :]]
-        if self.value:
+        if not self.m.merges:
             self.value = [v - self.value[shared] for v in self.value[shared:]]
         return out
 
@@ -324,7 +362,7 @@ def encode(df: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             ids = [m.encode(x) for x in texts]
             decoded = [m.decode(x) for x in ids]
-            same = [a.replace(SPACE, " ") == b for a, b in zip(texts, decoded, strict=True)]
+            same = [a == b for a, b in zip(texts, decoded, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(same)], [f.name for f in out.fields])
 
     return map_arrow(df, run, out)
