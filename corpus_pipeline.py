@@ -9,23 +9,25 @@ STAGES are applied in order; each reads, as Parquet, what the one before has wri
 5. pieces: the texts are encoded; the last stage returns ids and counts, and whether decoding gives the text back.
 
 A row without doc_id takes part in no group of near duplicates and stays. A document all of whose lines are cut out has
-an empty text and stays, too. Extra columns pass through all stages but the last.
+an empty text and stays, too. Extra columns pass through all stages but the last, whatever their names. An empty table
+gives an empty result. The last stage's round_trip is false for a text that holds the model's white space mark itself.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, jaccard_join, language_id, line_dedup, sentence_pieces
-from lodestar.llm.common import LAST_ID, shared_dir, table
+from lodestar.llm.common import LAST_ID, cut, fresh, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, language_id.sample(docs), prefix="__")
-    return found.where(F.col("__lang_pred") != language_id.UND).select(*docs.columns)
+    prefix = "_"
+    while fresh(docs, *(own := [prefix + c for c in language_id.ADDED])) != tuple(own):
+        prefix += "_"
+    found = language_id.identify(docs, language_id.sample(docs), prefix=prefix)
+    return found.where(F.col(prefix + "lang_pred") != language_id.UND).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +40,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_join.classes(docs)
-    first = found.where(F.col("d") == F.col("component_id")).select(F.col("d").alias("__d"), F.col("th").alias("__th"))
-    rows = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    kept = rows.where(F.col("__d").isNotNull()).join(first, ["__d", "__th"], "left_semi")
-    return kept.unionByName(rows.where(F.col("__d").isNull())).select(*docs.columns)
+    d, th = fresh(docs, "d", "th")
+    first = found.where(F.col("d") == F.col("component_id")).select(F.col("d").alias(d), F.col("th").alias(th))
+    rows = docs.withColumns({d: F.col("doc_id").cast("long"), th: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    kept = rows.where(F.col(d).isNotNull()).join(first, [d, th], "left_semi")
+    return kept.unionByName(rows.where(F.col(d).isNull())).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hit = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))[1].select("d", "th").distinct()
-    rows = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return rows.join(hit.select(F.col("d").alias("__d"), F.col("th").alias("__th")), ["__d", "__th"], "left_anti").select(*docs.columns)
+    d, th = fresh(docs, "d", "th")
+    rows = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), th: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return rows.join(hit.select(F.col("d").alias(d), F.col("th").alias(th)), [d, th], "left_anti").select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
     return docs
