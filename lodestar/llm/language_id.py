@@ -12,7 +12,9 @@ The sample: at most `sample_docs` labelled documents a language in expectation,
 in hash order the first `sample_chars` characters together. Both are parameters; nothing else is sampled.
 
 Defined cases: null text, or text without a letter, gives `und` with score 0, as does every text when no row is labelled.
-With one language, the score is 1. Repeated rows give a row each; a null id is never learned from and is not held out.
+With one language, the score is 1. Repeated rows give a row each; a null id is never learned from and is not held out. An
+empty table gives an empty result. Texts may be of any length (memory grows with the longest). Other columns pass through,
+whatever their names, but for those that are added.
 """
 
 from __future__ import annotations
@@ -77,12 +79,37 @@ def _collapsed(codes: np.ndarray) -> np.ndarray:
     return keep
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of codes as one flat table for parsing.
-
-    Entry [state * width + symbol] is 2 * (next state * width) + flag; flag 1 means no match went on here, a new phrase
-    began with this symbol.
-    """
+class Automaton:
+    """The suffix automaton of codes (numbers below width), for parsing many texts at a time.
+
+    Edges of all states share one row: the edge of state s by symbol c is at base[s] + c, if owner there is s, so that memory
+    grows with the edges and not with the alphabet. `to` has twice the next state. Where a state has no edge a new phrase
+    begins: `restart`, by symbol, has twice the state after its first symbol, plus 1."""
+
+    def __init__(self, codes: list[int], width: int):
+        nexts = _suffix_automaton(codes)
+        # No match is under way at the root: each edge there begins a phrase.
+        self.restart = np.ones(width, np.int32)
+        for c, t in nexts[0].items():
+            self.restart[c] = 2 * t + 1
+        self.base = np.zeros(len(nexts), np.int32)
+        spots = _placed([sorted(d) for d in nexts[1:]], width)
+        self.base[1:] = spots
+        size = int(self.base.max()) + width
+        self.owner, self.to = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        for s, d in enumerate(nexts[1:], 1):
+            for c, t in d.items():
+                self.owner[self.base[s] + c] = s
+                self.to[self.base[s] + c] = 2 * t
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """For each text, twice its next state, plus 1 if the symbol begins a phrase."""
+        at = self.base[states] + symbols
+        return np.where(self.owner[at] == states, self.to[at], self.restart[symbols]) if len(states) else states
+
+
+def _suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The edges of each state; state 0 is the root."""
     link, length, nexts, last = [-1], [0], [{}], 0
     for c in codes:
         cur = len(nexts)
@@ -107,17 +134,45 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    out = np.zeros((len(nexts), width), np.int64)
-    restart = np.ones(width, np.int64)
-    for c, s in nexts[0].items():
-        restart[c] = 2 * s * width + 1
-    out[:] = restart
-    for s, d in enumerate(nexts):
-        for c, t in d.items():
-            out[s, c] = 2 * t * width
-    # At the root nothing is matched yet: the first symbol of a text opens a phrase there, too.
-    out[0] = restart
-    return out.ravel().astype(np.int32 if out.max() < 2**31 else np.int64)
+    return nexts
+
+
+def _placed(rows: list[list[int]], width: int) -> list[int]:
+    """An offset for each row of symbols, so that no two rows want one place: those with most symbols first, each where
+    it fits; those with one symbol fill the holes."""
+    out = [0] * len(rows)
+    used = bytearray(width + sum(map(len, rows)) * 2 + width)
+    low = width  # below, no place is free for rows of several symbols
+    for i in sorted(range(len(rows)), key=lambda i: -len(rows[i])):
+        row = rows[i]
+        if len(row) < 2:
+            break
+        at, tried = low, 0
+        while True:
+            at = used.find(0, at)
+            if at < 0 or at + width >= len(used):
+                used.extend(bytes(len(used)))
+                at = max(at, low)
+                continue
+            base = at - row[0]
+            if not any(used[base + c] for c in row):
+                break
+            at, tried = at + 1, tried + 1
+        for c in row:
+            used[base + c] = 1
+        out[i] = base
+        if tried > 64:
+            low += (at - low) // 2
+    at = width
+    for i, row in enumerate(rows):
+        if len(row) == 1:
+            at = used.find(0, at)
+            if at < 0:
+                at = len(used)
+                used.extend(bytes(len(used)))
+            used[at] = 1
+            out[i] = at - row[0]
+    return out
 
 
 class Parser:
@@ -137,7 +192,7 @@ class Parser:
         for v in texts.values():
             codes = self.code[_points(v)]
             codes = codes[_collapsed(codes)]
-            self.tables.append(automaton(codes.tolist(), self.width))
+            self.tables.append(Automaton(codes.tolist(), self.width))
             self.bits.append(math.log2(max(2, len(codes))))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,15 +216,15 @@ class Parser:
         out = np.zeros((len(texts), len(self.langs)))
         if len(of):
             active = len(of) - np.searchsorted(length[::-1], np.arange(length[0]), side="right")
-            states = [np.zeros(len(of), t.dtype) for t in self.tables]
+            states = np.zeros((len(self.tables), len(of)), np.int32)
             counts = np.zeros((len(self.tables), len(of)), np.int32)
             for t in range(int(length[0])):
                 k = active[t]
                 c = codes[start[:k] + t]
-                for i, trans in enumerate(self.tables):
-                    e = trans[states[i][:k] + c]
+                for i, table in enumerate(self.tables):
+                    e = table.step(states[i, :k], c)
                     counts[i, :k] += e & 1
-                    states[i][:k] = e >> 1
+                    states[i, :k] = e >> 1
             for i in range(len(self.tables)):
                 out[:, i] = np.bincount(of, weights=counts[i], minlength=len(texts))
         return out, size, letters
