@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-CLASH = ("d", "th", "c", "n", "h", "lang_pred", "score", "ids", "kept", "runs", "at", "spans", "component_id", "out", "lines", "key", "lead", "fp", "w", "a", "b")
+CLASH = ("d", "th", "c", "n", "h", "lang_pred", "score", "ids", "kept", "runs", "at", "spans", "component_id", "out", "lines", "key", "lead", "fp", "w", "a", "b", "d_", "th_", "__d", "__th", "__lang_pred", "_score", "_bits", "__row", "__lines", "__text", "doc", "runs_")
 
 
 def documents(spark, texts, lang=None, clash=True):
@@ -34,5 +34,10 @@ def corpus(seed=0):
     return [*texts, texts[0], (None, base), (None, None), (3, "a text with an id that is there already")]
 
 
+def thue_morse(n):
+    """n bits whose hash by powers of an odd base, modulo a power of two, equals that of their complement."""
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
 def answer(df, key="doc_id"):
     return sorted((tuple(r) for r in df.collect()), key=repr)

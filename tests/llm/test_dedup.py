@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from lodestar.llm import hashes, line_dedup, repeats, substring_dedup, suffix_dedup
 from lodestar.llm.common import LAST_ID
 from lodestar.llm.suffix_array import equal_windows, suffix_order
-from tests.llm.frames import answer, corpus, documents
+from tests.llm.frames import answer, corpus, documents, thue_morse
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -102,6 +102,54 @@ def test_words_of_a_batch(texts):
     assert len({(a, int(b)) for a, b in zip(flat, h)}) == len(set(flat))
 
 
+def test_words_that_hashes_by_powers_confuse(spark):
+    """49 equal words and a 50th of 1,024 bytes that differs everywhere; and whole texts like that."""
+    bits = thue_morse(1024)
+    one, two = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    head = " ".join(f"w{i}" for i in range(49))
+    docs = documents(spark, [(1, f"{head} {one}"), (2, f"{head} {two}"), (3, f"{head}\t{one}")])
+    assert answer(substring_dedup.dedup(docs).select("doc_id", "n_removed")) == [(1, 0), (2, 0), (3, 50)]
+    got = suffix_dedup.dedup(documents(spark, [(1, one), (2, two)])).collect()
+    gone = covered([1, 2], [one.encode(), two.encode()], 50)
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i + 1: sum(g) for i, g in enumerate(gone)}
+
+
+def test_spans_of_one_hash_are_told_apart_by_their_bytes():
+    data = np.frombuffer(b"abcabdabc" + b"x" * 40 + b"x" * 39 + b"y", np.uint8)
+    start, end = np.array([0, 3, 6, 9, 49, 0]), np.array([3, 6, 9, 49, 89, 0])
+    number, n = hashes.exact(data, start, end, np.zeros(6, np.uint64))
+    assert n == 5 and number[0] == number[2] and len(set(number.tolist())) == 5
+    assert hashes.same_spans(data, start, end, np.array([2, 0, 0, 4, 3, 5])).tolist() == [True, False, True, False, False, True]
+    long = np.frombuffer(b"a" * 3000 + b"a" * 2999 + b"b", np.uint8)
+    one, two = hashes.spans(long, np.array([0, 3000]), np.array([3000, 6000])).tolist()
+    assert one != two and hashes.spans(long, np.array([0]), np.array([3000]))[0] == one
+
+
+def test_levels_double():
+    assert substring_dedup.levels(50) == (13, 25, 50)
+    for n in range(1, 400):
+        levels = substring_dedup.levels(n)
+        assert levels[-1] == n and all(a <= b <= 2 * a for a, b in zip(levels, levels[1:]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "ab", "c" * 20]), min_size=5, max_size=30), min_size=1, max_size=6), st.integers(1, 5))
+def test_windows_are_named_by_doubling(contents, length):
+    bodies = [" ".join(c).encode() for c in contents]
+    windows = np.array([len(c) - length + 1 for c in contents])
+    cls = substring_dedup.by_doubling(length)(np.frombuffer(b"".join(bodies), np.uint8), np.array([len(b) for b in bodies]), windows).tolist()
+    flat = [tuple(c[i : i + length]) for c in contents for i in range(len(c) - length + 1)]
+    assert len(cls) == len(flat) and len(set(zip(cls, flat))) == len(set(cls)) == len(set(flat))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=1, max_size=80), st.integers(1, 20))
+def test_grams_of_bytes(data, n):
+    g = repeats.Bytes(np.frombuffer(data, np.uint8), np.array([0, len(data)])).grams(n)
+    flat = [data[i : i + n] for i in range(len(data) - n + 1)]
+    assert len(g) == len(flat) and len(set(zip(g.tolist(), flat))) == len(set(g.tolist())) == len(set(flat))
+
+
 def plain_lines(texts, divisor=3, least=2):
     first, cut = {}, []
     for n, (i, t) in enumerate(texts):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import cover_tree, jaccard_join
 from lodestar.llm.common import components
-from tests.llm.frames import answer, corpus, documents, words
+from tests.llm.frames import answer, corpus, documents, thue_morse, words
 
 
 def closed(nodes, links):
@@ -93,6 +93,89 @@ def test_keys_of_very_many_documents(spark, monkeypatch):
     assert answer(got) == plain_join(texts)
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies edited to about the threshold: many pairs link, many nearly do. Shards tell forests, arenas find the rest."""
+    monkeypatch.setattr(jaccard_join, "ARENA", 40)
+    rng = random.Random(11)
+    base = words(rng, 60, 5000).split()
+    texts = []
+    for i in range(900):
+        w = list(base)
+        for k in rng.sample(range(60), rng.choice([0, 1, 2, 2, 3, 3, 4])):
+            w[k] = f"e{rng.randrange(9999)}"
+        texts.append((i, " ".join(w)))
+    docs = documents(spark, texts, clash=False).repartition(6)
+    told = []
+    whole = jaccard_join._candidates
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda *a: told.append(whole(*a)) or told[-1])
+    got = jaccard_join.with_components(docs).select("doc_id", "n_shingles", "component_id")
+    assert answer(got) == plain_join(texts)
+    assert told[0].count() < 4 * len(texts)  # of some 100,000 pairs
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_arenas_find_every_component(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, (3, 40), dtype=np.uint64)
+    parts = []
+    for _ in range(60):
+        x = base[rng.integers(0, 3)].copy()
+        k = rng.integers(0, 9)
+        x[rng.integers(0, 40, k)] = rng.integers(0, 1 << 60, k, dtype=np.uint64)
+        parts.append(np.unique(x))
+    d = rng.permutation(1000)[:60].astype(np.int64)
+    sets = [set(p.tolist()) for p in parts]
+    links = [(int(d[i]), int(d[j])) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    known = [x for x in links if rng.random() < 0.2]
+    before = closed(d.tolist(), known)
+    c = np.array([before[int(x)] for x in d])
+    most = np.bincount(c).argmax()
+    odd = c != most
+    # As in a task that has the whole arena: everyone is there, the odd ones ask.
+    ask = np.flatnonzero(odd)
+    order = np.concatenate([np.arange(60), ask])
+    a, b = jaccard_join._arena(d[order], c[order], odd[order], np.arange(len(order)) >= 60, [parts[i] for i in order], 75)
+    edges = list(zip(a.tolist(), b.tolist()))
+    assert set(edges) <= {(min(x), max(x)) for x in links} and len(edges) < 60
+    assert closed(d.tolist(), known + edges) == closed(d.tolist(), links)
+
+
+def test_forests_of_pairs():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 80, (2, 150))
+    d = rng.permutation(500)[:80]
+    a, b, _ = jaccard_join.spanning(x[x != y], y[x != y], rng.integers(0, 9, int((x != y).sum())), d)
+    whole, forest = (closed(range(80), list(zip(p.tolist(), q.tolist()))) for p, q in ((x, y), (a, b)))
+    assert whole == forest and len(a) == 80 - len(set(whole.values()))
+
+
+def test_numbered_shingles_equal_plain_sets():
+    texts = [*corpus(4), *near_copies(4)]
+    raw = [(t or "").encode() for _, t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    sets = plain_sets(texts)
+    for size in (5, 1, 3):
+        sets = plain_sets(texts, size)
+        found, begin = jaccard_join.named(data, offsets, size)
+        mine = [set(found[a:b].tolist()) for a, b in zip(begin[:-1], begin[1:])]
+        assert list(map(len, mine)) == list(map(len, sets))
+        assert [len(a & b) for a, b in zip(mine, mine[1:])] == [len(a & b) for a, b in zip(sets, sets[1:])]
+    assert len(jaccard_join.named(np.zeros(0, np.uint8), np.zeros(1, np.int64), 5)[0]) == 0
+
+
+def test_words_that_hashes_by_powers_confuse(spark):
+    bits = thue_morse(1024)
+    texts = [(i, "".join("ab"[b ^ x] for b in bits)) for i, x in ((1, 0), (2, 1), (3, 0))]
+    assert answer(jaccard_join.with_components(documents(spark, texts)).select("doc_id", "n_shingles", "component_id")) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_extra_columns_keep_their_values(spark):
+    docs = documents(spark, [(1, "a b"), (2, "a b")])
+    got = jaccard_join.with_components(docs)
+    assert set(got.columns) == {*docs.columns, "n_shingles", "component_id"}
+    assert {r[c] for r in got.collect() for c in ("d", "th", "__th", "d_", "c")} == {"x"}
+
+
 def test_documents_with_too_few_words_share_a_key():
     sets = np.sort(np.array([1 << 40, 2 << 40, 3 << 40], np.uint64))  # all in one word
     sketch, key, few = jaccard_join.keys(sets, np.array([0, 3]), 75)

@@ -1,7 +1,10 @@
 """The pipeline's stages against plain versions, and the registered queries against their SQL."""
 
 import duckdb
+import public_tokenizers
 import pytest
+import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestar.llm import language_id
@@ -28,9 +31,12 @@ def test_stages_in_order(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{name}")
         return spark.read.parquet(f"{tmp_path}/{name}")
 
+    docs = docs.withColumns({"__lang_pred": F.lit("L"), "_lang_pred": F.lit("L"), "__th": F.lit("T"), "d": F.lit("D")})
+    columns = docs.columns
+    kept = lambda docs: {tuple(r[c] for c in ("__lang_pred", "_lang_pred", "__th", "d")) for r in docs.collect()}
     now = [(i, t) for i, t in texts if any(map(str.isalpha, t or ""))]
     docs = run("language", docs)
-    assert docs.columns[: 5 + len(CLASH)] == ["doc_id", "text", "lang", "source", "n_chars", *CLASH]
+    assert docs.columns == columns and set(CLASH) < set(columns)
     rows = lambda: sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr)
     assert rows() == sorted(now, key=repr)
     now = [(x[0], x[4]) for x in plain_lines(now)]
@@ -44,8 +50,35 @@ def test_stages_in_order(spark, tmp_path):
     now = [x for n, x in enumerate(now) if (x[0], n) not in dirty]
     docs = run("benchmark", docs)
     assert rows() == sorted(now, key=repr) and {54} <= {i for i, _ in now} and 53 not in {i for i, _ in now}
+    assert docs.columns == columns and kept(docs) == {("L", "L", "T", "D")}
     docs = run("pieces", docs)
     assert docs.count() == len(now) and docs.where("not round_trip").count() == 0
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert sorted(((r["doc_id"], r["ids"]) for r in docs.collect()), key=repr) == sorted(((i, library.encode(t or "")) for i, t in now), key=repr)
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([(1, "some words of an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, [])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_contract_columns_come_first(spark):
+    first = {
+        "op1_language_id": "doc_id held_out lang_pred score",
+        "op3_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
+        "op4_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+        "op5_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
+        "op6_substring_dedup": "doc_id n_words n_removed kept_sha256",
+        "op8_token_counts": "doc_id n_bytes n_tokens over_limit",
+        "op9_jaccard_join": "doc_id n_shingles component_id",
+        "op10_cover_tree": "vec_id n_links component_id kept",
+    }
+    for name, columns in first.items():
+        assert QUERIES[name](spark, SF).columns[: len(columns.split())] == columns.split(), name
 
 
 def test_run(spark):

@@ -2,13 +2,14 @@
 
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, language_id, secret_scan, sentence_pieces, token_counts
-from lodestar.llm.language_id import Parser, automaton
+from lodestar.llm.language_id import Automaton, Parser
 from tests.llm.frames import CLASH, answer, corpus, documents, words
 
 SF = "/root/testdata/sf0.01"
@@ -42,14 +43,34 @@ def test_phrases_are_longest_matches(sample, texts):
         assert c == plain_phrases(fold(t), fold(sample))
 
 
-def test_automaton_knows_every_substring():
-    codes = [2, 3, 2, 2, 4]
-    table = automaton(codes, 5)
-    state = 0
-    for c in (2, 3, 2, 2, 4):
-        e = int(table[state + c])
-        state = e >> 1
-    assert state and int(table[state + 2]) & 1
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(2, 12), min_size=1, max_size=60))
+def test_automaton_knows_every_substring(codes):
+    table = Automaton(codes, 13)
+    text = "".join(map(chr, codes))
+    for start in range(len(codes)):
+        state = np.zeros(1, np.int32)
+        for i in range(start, len(codes)):
+            e = table.step(state, np.array(codes[i : i + 1]))
+            assert (e[0] & 1) == (i == start)
+            state = e >> 1
+        for c in range(2, 13):
+            new = table.step(state, np.array([c]))[0] & 1
+            assert new == (text[start:] + chr(c) not in text)
+
+
+def test_a_large_alphabet_takes_little_memory():
+    import random
+
+    rng = random.Random(0)
+    codes = [rng.randrange(2, 5000) for _ in range(20_000)]
+    table = Automaton(codes, 5002)
+    assert sum(x.nbytes for x in (table.base, table.owner, table.to, table.restart)) < 4 << 20
+    state, begun = np.zeros(1, np.int32), 0
+    for c in codes:
+        e = table.step(state, np.array([c]))
+        state, begun = e >> 1, begun + (e[0] & 1)
+    assert begun == 1
 
 
 def test_languages(spark):
