@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.storage import delete, session_dir
+
+EDGES = 1 << 21  # of a partition whose components are found at once
 LAST_ID = 2**63 - 1  # stands for a null doc_id: such a document precedes no other
 
 
@@ -23,23 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. One of our own only where the session names
-    none and runs in a single process; a cluster has to name one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,19 +35,14 @@ def forget(*tables: DataFrame) -> None:
     """Delete tables that cut() has written and nothing will read again."""
     for df in tables:
         spark = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/lodestar-" in f}:
-            _delete(spark, file)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/lodestar-" in f}:
+            delete(spark, folder)
 
 
 def clean(spark: SparkSession) -> None:
     """Delete all tables that operators have written in this session. Results that are read lazily from them are lost, too:
     call it when results have been written."""
-    _delete(spark, f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    delete(spark, session_dir(spark))
 
 
 def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
@@ -204,20 +186,29 @@ def _are_stars(e: DataFrame) -> bool:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component), component the least node id reachable; nodes without an edge are absent.
 
-    The edges of each partition become stars; then large and small stars alternate until the whole edge list is stars.
-    Each round is a partially aggregated min per node, written, and a join of the edges with it: broadcast if it has few
-    rows, else a shuffled join of two tables, whose hot nodes the adaptive skew join splits.
+    The edges of each partition become stars, those of as many partitions together as have EDGES of them again. If that
+    leaves several partitions, large and small stars alternate until the whole edge list is stars. Each round is a
+    partially aggregated min per node, written, and a join of the edges with it: broadcast if it has few rows, else a
+    shuffled join of two tables, whose hot nodes the adaptive skew join splits.
     """
     from lodestar.llm.native import small
 
-    e = cut(_contracted(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")).distinct())
-    while not _are_stars(e):
+    def contract(e: DataFrame) -> tuple[DataFrame, int]:
+        first = cut(_contracted(e))
+        parts = -(-first.count() // EDGES)
+        out = cut(_contracted(first.coalesce(max(1, parts))))
+        forget(first)
+        return out, parts
+
+    e, parts = contract(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v"))
+    while parts > 1 and not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         first = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = cut(both.join(small(first), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         second = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         near = large.join(small(second), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(second.select("u", F.col("m").alias("v")))
-        near = near.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        old, e = e, cut(_contracted(near).distinct())
+        old = e
+        e, parts = contract(near.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         forget(old, first, large, second)
+    e = e.distinct() if parts > 1 else e
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import cover_tree, jaccard_join
+from lodestar.llm import common, cover_tree, jaccard_join
 from lodestar.llm.common import components
 from tests.llm.frames import answer, corpus, documents, thue_morse, words
 
@@ -26,12 +26,13 @@ def closed(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "at_once"), [(0, 40), (1, 1 << 20)])
+def test_components(spark, monkeypatch, seed, at_once):
+    monkeypatch.setattr(common, "EDGES", at_once)
     rng = random.Random(seed)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(500, i) for i in range(501, 560)] + [(i, i + 1) for i in range(1000, 1060)]
     nodes = {x for e in edges for x in e if e[0] != e[1]}
-    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()))
     assert got == closed(nodes, [e for e in edges if e[0] != e[1]])
 
 
