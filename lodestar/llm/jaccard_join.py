@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import hashes as H
 from lodestar.llm.common import components, cut, fresh, hold, joined, map_arrow, release, squeeze, sub_batches, table, tasks, text_bytes, unsqueezed
 from lodestar.llm.native import small
+from lodestar.llm.repeats import Words
 
 BATCH = 1 << 20
 CELLS = 1 << 20  # of the count sketch
@@ -80,25 +81,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
 
 def named(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """As shingles(), with numbers in place of hashes: two shingles of these texts have one number if their words are equal."""
-    low = H._LOWER[data]
-    start, end, at = H.bounds(low, offsets)
-    word, total = H.exact(low, start, end, H.spans(low, start, end))
-    n = np.diff(at)
-    name, have, length = word, 1, max(1, total)
-    while have < size:
-        step = min(have, size - have)
-        if len(name) <= step:
-            break
-        key, name = np.unique(name[:-step] * length + name[step:], return_inverse=True)
-        have, length = have + step, len(key)
-    count = np.where(n >= size, n - size + 1, 0)
+    words = Words(H._LOWER[data], offsets)
+    n = np.diff(words.offsets)
+    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     owner = np.repeat(np.arange(len(n)), count)
-    place = np.repeat(at[:-1] - (np.cumsum(count) - count), count) + np.arange(len(owner))
-    few: dict[tuple[int, ...], int] = {}
-    short = np.flatnonzero((n > 0) & (n < size))
-    numbers = [length + few.setdefault(tuple(word[at[i] : at[i + 1]].tolist()), len(few)) for i in short.tolist()]
-    both = np.unique(np.concatenate([owner, short]) * (length + len(few) + 1) + np.concatenate([name[place], np.array(numbers, np.int64)]))
-    owner, found = np.divmod(both, length + len(few) + 1)
+    first = np.repeat(words.offsets[:-1] - (np.cumsum(count) - count), count) + np.arange(len(owner))
+    # A shingle as its words, joined by one space.
+    body, start, end = words.contents(first, first + np.minimum(size, n[owner]))
+    number, total = H.exact(body, start, end, H.spans(body, start, end))
+    owner, found = np.divmod(np.unique(owner * max(1, total) + number), max(1, total))
     return found, np.searchsorted(owner, np.arange(len(n) + 1))
 
 
