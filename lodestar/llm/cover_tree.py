@@ -1,7 +1,8 @@
 """Embedding near-dedup by cover trees and their dual traversal.
 
 Vectors are compared within a label by cosine; on the unit sphere cosine >= c means a distance of at most
-r = sqrt(2 - 2 c). The top of each label's cover tree comes from a bounded sample of vectors (`sample`, a parameter); the
+r = sqrt(2 - 2 c). Equal vectors of a label are one, with a weight, from the start; their ids are joined to it at the end.
+The top of each label's cover tree comes from a bounded sample of vectors (`sample`, a parameter); the
 nodes of one of its levels, the one that costs least, cut space into cells (a single one, where vectors lie so far apart
 from each other that cells would only repeat them).
 Every vector goes to the cell of its nearest node, and as a guest to each other cell in which a vector within r may have
@@ -15,11 +16,13 @@ are refined; at the leaves vectors are compared by the cosine itself in double p
 
 Defined cases: a vector that is null, empty or zero, or holds null or non-finite numbers, or has no label, links with
 nothing; vectors of different lengths don't link; a row with a null id takes no part and has null results; rows that repeat
-an id are vectors of their own, and the id has all their links together.
+an id are vectors of their own, and the id has all their links together; an empty table gives an empty result; vectors may
+be of any length (a task holds two blocks of them); other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,9 +89,9 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y)))
 
 
-def dual(left: Tree, right: Tree, radius: float, cosine: float, links: np.ndarray, sides: np.ndarray, join, allowed=None) -> None:
-    """Traverse both trees. links, sides: counters of partners by row of left and right, or None for the same tree;
-    join(i, j) tells that row i of left and row j of right are connected."""
+def dual(left: Tree, right: Tree, radius: float, cosine: float, links: np.ndarray, sides: np.ndarray, join, weigh: np.ndarray, other: np.ndarray) -> None:
+    """Traverse both trees. links, sides: summed weights of partners by row of left and right (one array for one tree);
+    join(i, j) tells that row i of left and row j of right are connected; weigh, other: weights of left's and right's rows."""
     if not left.nodes or not right.nodes:
         return
     same = left is right
@@ -99,10 +102,10 @@ def dual(left: Tree, right: Tree, radius: float, cosine: float, links: np.ndarra
         qc, qrows, qr, qch = right.nodes[q]
         if same and p == q:
             if 2 * pr < radius - 1e-7:
-                links[prows] += len(prows) - 1
+                links[prows] += weigh[prows].sum() - weigh[prows]
                 join(prows, np.full(len(prows), pc))
             elif not pch:
-                _leaf(left, right, prows, prows, cosine, links, links, join, True)
+                _leaf(left, right, prows, prows, cosine, links, links, join, weigh, other, True)
             else:
                 stack += [(a, b) for i, a in enumerate(pch) for b in pch[i:]]
             continue
@@ -110,34 +113,35 @@ def dual(left: Tree, right: Tree, radius: float, cosine: float, links: np.ndarra
         if gap - pr - qr > radius + 1e-7:
             continue
         if gap + pr + qr < radius - 1e-7:
-            links[prows] += len(qrows)
-            (links if same else sides)[qrows] += len(prows)
+            links[prows] += other[qrows].sum()
+            (links if same else sides)[qrows] += weigh[prows].sum()
             join(prows, np.full(len(prows), qc))
             join(np.full(len(qrows), pc), qrows)
             continue
         if not pch and not qch:
-            _leaf(left, right, prows, qrows, cosine, links, links if same else sides, join, False)
+            _leaf(left, right, prows, qrows, cosine, links, links if same else sides, join, weigh, other, False)
         elif not qch or (pch and pr >= qr):
             stack += [(a, q) for a in pch]
         else:
             stack += [(p, b) for b in qch]
 
 
-def _leaf(left, right, prows, qrows, cosine, links, sides, join, one: bool) -> None:
+def _leaf(left, right, prows, qrows, cosine, links, sides, join, weigh, other, one: bool) -> None:
     hit = left.x[prows] @ right.x[qrows].T >= cosine
     if one:
         np.fill_diagonal(hit, False)
-        links[prows] += hit.sum(axis=1)
-    else:
-        links[prows] += hit.sum(axis=1)
-        np.add.at(sides, qrows, hit.sum(axis=0))
     i, j = np.nonzero(hit)
-    if len(i):
-        join(prows[i], qrows[j])
+    if not len(i):
+        return
+    np.add.at(links, prows[i], other[qrows[j]])
+    if not one:
+        np.add.at(sides, qrows[j], weigh[prows[i]])
+    join(prows[i], qrows[j])
 
 
 def _units(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(id, label, x array<double>) of the rows that can link; x of length 1, label with the number of components."""
+    """(id, label, x array<double>, same) of the rows that can link; x of length 1, label with the number of components, same
+    a digest of x."""
     rows = df.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vec_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("x"))
 
@@ -155,9 +159,9 @@ def _units(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFram
                 # Scaled by the largest component first, so that squares neither overflow nor vanish.
                 x = x[good] / top[good][:, None]
                 x /= np.sqrt((x * x).sum(axis=1))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at][good]), pa.array([f"{t}/{dim}" for t in labels[at][good]], pa.string()), _lists(x)], ["id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at][good]), pa.array([f"{t}/{dim}" for t in labels[at][good]], pa.string()), _lists(x), pa.array([hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in x], pa.binary())], ["id", "label", "x", "same"])
 
-    return map_arrow(rows, clean, "id long, label string, x array<double>")
+    return map_arrow(rows, clean, "id long, label string, x array<double>, same binary")
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -191,7 +195,7 @@ def _pivots(units: DataFrame, sample: int, most: int, radius: float) -> dict[str
     if not total:
         return {}
     mod = 1 << 30
-    chosen = units.where(F.pmod(F.xxhash64("id"), F.lit(mod)) < int(min(1.0, sample / total) * mod)).orderBy("id").limit(2 * sample).toPandas()
+    chosen = units.where(F.pmod(F.xxhash64("id"), F.lit(mod)) < int(min(1.0, sample / total) * mod)).select("id", "label", "x").orderBy("id").limit(2 * sample).toPandas()
     out = {}
     for label, rows in chosen.groupby("label"):
         x = np.stack(rows["x"].to_numpy())
@@ -210,10 +214,13 @@ def _pivots(units: DataFrame, sample: int, most: int, radius: float) -> dict[str
     return out
 
 
-def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, sample: int = 4096, most: int = 64, block: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """((id, n) partners counted in each task, (a, b) connections) of all vectors."""
+def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, sample: int = 4096, most: int = 64, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """((id, n) partners of each id, (a, b) connections) of all vectors."""
     radius = float(np.sqrt(2 - 2 * cosine))
-    units = cut(_units(df, id_col, vec_col, label_col))
+    rows = cut(_units(df, id_col, vec_col, label_col))
+    # Equal vectors are one: `id` is a number of its own from here on, `lead` the least id.
+    units = rows.groupBy("label", "same").agg(F.first("x").alias("x"), F.min("id").alias("lead"), F.count(F.lit(1)).alias("w"))
+    units = cut(units.withColumn("id", F.monotonically_increasing_id()))
     pivots = _pivots(units, sample, most, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,23 +231,20 @@ def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
                 x = _matrix(part.column("x"), part.num_rows)
                 home, reach = _reach(x, pivots.get(label, x[:1]), radius)
                 i, c = np.nonzero(reach)
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(i), pa.string()), pa.array(c, pa.int32()), pa.array(home[i] == c), part.column("id").take(pa.array(i)), _lists(x[i])], schema=dealt)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(i), pa.string()), pa.array(c, pa.int32()), pa.array(home[i] == c), part.column("id").take(pa.array(i)), part.column("w").take(pa.array(i)), _lists(x[i])], schema=dealt)
 
-    dealt = pa.schema([("label", pa.string()), ("cell", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()), ("x", pa.list_(pa.float64()))])
-    cells = cut(map_arrow(units, deal, "label string, cell int, home boolean, id long, x array<double>"))
+    dealt = pa.schema([("label", pa.string()), ("cell", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()), ("w", pa.int64()), ("x", pa.list_(pa.float64()))])
+    cells = cut(map_arrow(units.select("label", "id", "w", "x"), deal, "label string, cell int, home boolean, id long, w long, x array<double>"))
     sizes = small(cut(cells.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))))
     cells = cells.join(sizes, ["label", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # Each vector is told to every pair of blocks that its own is in.
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    cells = cells.select("label", "cell", "home", "id", "x", "own", F.explode(pair).alias("at")).select("label", "cell", "home", "id", "x", "own", "at.i", "at.j")
+    cells = cells.select("label", "cell", "home", "id", "w", "x", "own", F.explode(pair).alias("at")).select("label", "cell", "home", "id", "w", "x", "own", "at.i", "at.j")
 
     def meet(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        ids, home, own = (t.column(c).to_numpy() for c in ("id", "home", "own"))
+        ids, home, own, w = (t.column(c).to_numpy() for c in ("id", "home", "own", "w"))
         x = _matrix(pa.concat_arrays(t.column("x").chunks), len(ids))
-        # Equal ids are one node: a pair is counted at the home of its lesser id, each row once.
-        order = np.lexsort((~home, ids))
-        ids, home, own, x = ids[order], home[order], own[order], x[order]
         count = np.zeros(len(ids), np.int64)
         ends: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -248,10 +252,10 @@ def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
             left = Tree(x[a])
             counts = np.zeros(len(a), np.int64)
             if b is None:
-                dual(left, left, radius, cosine, counts, counts, lambda s, e: ends.append((ids[a[s]], ids[a[e]])))
+                dual(left, left, radius, cosine, counts, counts, lambda s, e: ends.append((ids[a[s]], ids[a[e]])), w[a], w[a])
             else:
                 other = np.zeros(len(b), np.int64)
-                dual(left, Tree(x[b]), radius, cosine, counts, other, lambda s, e: ends.append((ids[a[s]], ids[b[e]])))
+                dual(left, Tree(x[b]), radius, cosine, counts, other, lambda s, e: ends.append((ids[a[s]], ids[b[e]])), w[a], w[b])
                 count[b] += other
             count[a] += counts
 
@@ -274,7 +278,14 @@ def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
         return pa.table({"a": np.concatenate([ids[some], edge[:, 0]]), "b": np.concatenate([np.full(len(some), -1), edge[:, 1]]), "n": np.concatenate([count[some], np.zeros(len(edge), np.int64)]), "edge": np.concatenate([np.zeros(len(some), bool), np.ones(len(edge), bool)])})
 
     found = cut(cells.groupBy("label", "cell", "i", "j").applyInArrow(meet, "a long, b long, n long, edge boolean"))
-    return found.where("not edge").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), found.where("edge").select("a", "b")
+    # From numbers back to ids: a vector has the weights of its partners and of its equals.
+    lead = units.select("id", "lead")
+    counts = units.select("id", "label", "same", "lead", "w").join(found.where("not edge").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), "id", "left")
+    counts = cut(counts.select("label", "same", "lead", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n")))
+    each = rows.select("id", "label", "same").join(small(counts), ["label", "same"])
+    edges = found.where("edge").select("a", "b").join(lead.select(F.col("id").alias("a"), F.col("lead").alias("la")), "a").join(lead.select(F.col("id").alias("b"), F.col("lead").alias("lb")), "b")
+    edges = edges.select(F.col("la").alias("a"), F.col("lb").alias("b")).unionByName(each.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
+    return each.groupBy("id").agg(F.sum("n").alias("n")), edges
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", **how) -> DataFrame:
