@@ -234,6 +234,15 @@ def test_cover_tree(spark, seed, how):
     assert answer(got) == plain_vectors(rows, how.get("cosine", 0.98))
 
 
+def test_a_common_vector(spark):
+    """A third of all rows has one vector; it is compared once, and counted for all."""
+    rng = np.random.default_rng(9)
+    common = rng.normal(size=6)
+    rows = [(i, [float(np.float32(v)) for v in (common if i % 3 == 0 else common + rng.normal(size=6) * 0.2)], i % 2) for i in range(240)]
+    rows += [(6, rows[6][1], 0), (6, rows[6][1], 0)]
+    assert answer(cover_tree.near_duplicates(frame(spark, rows), block=50)) == plain_vectors(rows, 0.98)
+
+
 def test_no_vectors(spark):
     assert cover_tree.near_duplicates(frame(spark, [])).count() == 0
     assert answer(cover_tree.near_duplicates(frame(spark, [(1, None, None)]))) == [(1, 0, 1, True)]
@@ -244,5 +253,5 @@ def test_traversal_links_whole_nodes():
     x = rng.normal(size=(3, 8))[rng.integers(0, 3, 400)] + rng.normal(size=(400, 8)) * 1e-4
     x /= np.linalg.norm(x, axis=1)[:, None]
     tree, counts, told = cover_tree.Tree(x), np.zeros(400, np.int64), []
-    cover_tree.dual(tree, tree, 0.2, 0.98, counts, counts, lambda a, b: told.append(len(a)))
+    cover_tree.dual(tree, tree, 0.2, 0.98, counts, counts, lambda a, b: told.append(len(a)), np.ones(400, np.int64), np.ones(400, np.int64))
     assert (counts == (x @ x.T >= 0.98).sum(axis=1) - 1).all() and sum(told) < 4000  # not all of some 27,000 pairs
