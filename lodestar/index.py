@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar import storage
 from lodestar.schema import SCHEMAS, check_tables
 
 
@@ -32,10 +33,7 @@ class CodeIndex:
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str) -> CodeIndex:
         """From `folder/<table>.parquet`; a table that isn't there raises SchemaError."""
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        check_tables(t for t in SCHEMAS if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{t}.parquet")))
+        check_tables(storage.catalogue(spark, folder))
         return cls.from_frames({t: spark.read.schema(s).parquet(f"{folder}/{t}.parquet") for t, s in SCHEMAS.items()})
 
     @classmethod

@@ -13,6 +13,7 @@ from lodestar.plans.relations import take
 from lodestar.schema import Role
 
 CANDIDATES = 20
+LINES = 64  # of a bucket by which places and occurrences of a file meet
 
 
 def candidates(index: CodeIndex, wanted: str, limit: int = CANDIDATES, protocols_first: bool = False) -> DataFrame:
@@ -52,7 +53,7 @@ def covering(index: CodeIndex) -> DataFrame:
     return index.occurrences.join(docs, "file_id")
 
 
-def at_position(index: CodeIndex, path: str, line: int) -> DataFrame:
+def at_position(index: CodeIndex, path: str | Column, line: int) -> DataFrame:
     """(symbol_id): of the occurrences whose lines cover a place, references first, then the one that starts last."""
     rows = covering(index).where((F.col("relative_path") == path) & (F.col("start_line") <= line) & (F.col("end_line") >= line))
     reference = F.when(S.has_role(F.col("roles"), Role.REFERENCE), 0).otherwise(1)
@@ -60,9 +61,29 @@ def at_position(index: CodeIndex, path: str, line: int) -> DataFrame:
 
 
 def at_positions(index: CodeIndex, places: DataFrame) -> DataFrame:
-    """(relative_path, line, symbol_id) for many places (relative_path, line): an equi-join on the file with the range as
-    its residual, then the best row of each place by a partial aggregate."""
+    """(relative_path, line, symbol_id) for many places (relative_path, line): an equi-join on the file and a bucket of its
+    lines with the range as its residual, then the best row of each place by a partial aggregate. So the work grows with
+    the occurrences near a place, not with those of its file."""
     reference = F.when(S.has_role(F.col("roles"), Role.REFERENCE), 0).otherwise(1)
-    rows = covering(index).withColumn("reference", reference)
-    hit = places.select("relative_path", "line").distinct().join(rows, "relative_path").where("start_line <= line and end_line >= line")
+    bucket = lambda c: F.floor(F.col(c) / LINES)
+    spans = F.explode(F.sequence(bucket("start_line"), F.greatest(bucket("start_line"), bucket("end_line"))))
+    rows = covering(index).select("*", reference.alias("reference"), spans.alias("bucket"))
+    asked = places.select("relative_path", "line").distinct().withColumn("bucket", bucket("line"))
+    hit = asked.join(rows, ["relative_path", "bucket"]).where("start_line <= line and end_line >= line")
     return hit.groupBy("relative_path", "line").agg(F.min_by("symbol_id", F.struct("reference", (-F.col("start_line")).alias("s"), "id")).alias("symbol_id"))
+
+
+def wanted_symbol(index: CodeIndex, wanted: str, path: str | Column | None = None, line: int | None = None) -> DataFrame:
+    """(symbol_id): at most one row. The symbol at a place, if both path and line are given (a line 0 is none) and something
+    is there, be it known or not; else the best candidate by name."""
+    named = candidates(index, wanted, 1).select("symbol_id")
+    if path is None or not line:
+        return named
+    at = at_position(index, path, line)
+    nothing = at.agg((F.count(F.lit(1)) == 0).alias("nothing")).scalar()
+    return at.unionByName(named.where(nothing))
+
+
+def go_to(index: CodeIndex, wanted: str, path: str | Column | None = None, line: int | None = None) -> DataFrame:
+    """definitions() of wanted_symbol(): no row if that is no known symbol."""
+    return definitions(index, wanted_symbol(index, wanted, path, line))

@@ -6,18 +6,20 @@ Lists are joined to text in the results, so that both engines give flat columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar import render
+from lodestar import render, storage
 from lodestar.functions import match
 from lodestar.functions import symbols as S
 from lodestar.index import CodeIndex
 from lodestar.operators import definition, implementations, references, search, status
 from lodestar.plans import relations as R
-from lodestar.schema import SCHEMAS, Role
-from lodestar.sources.star import oracle_ctes, star_index
+from lodestar.schema import TABLES, Role
+from lodestar.sources.star import oracle_ctes, stored_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,7 +71,7 @@ def query(sql: str | None = None):
 
     def add(fn: Callable[[CodeIndex], DataFrame]):
         key = fn.__name__.lstrip("_")
-        QUERIES[key] = lambda spark, folder: fn(star_index(spark, folder))
+        QUERIES[key] = lambda spark, folder: fn(stored_index(spark, folder))
         if sql:
             ORACLE_SQL[key] = _sql(sql)
         return fn
@@ -161,8 +163,12 @@ AT = "order by case when roles & 8 <> 0 then 0 else 1 end, start_line desc, o.id
 
 @query(f"select symbol_id from ix_occurrences o join ix_documents d on d.id = file_id where relative_path = (select min(relative_path) from ix_documents d join ix_occurrences o on d.id = file_id where start_line = 10 and end_line > 10) and start_line <= 11 and end_line >= 11 {AT} limit 1")
 def q13_symbol_at_position(ix):
-    path = definition.covering(ix).where("start_line = 10 and end_line > 10").agg(F.min("relative_path")).first()[0]
-    return definition.at_position(ix, path, 11)
+    return definition.at_position(ix, _some_path(ix), 11)
+
+
+def _some_path(ix) -> Column:
+    """The first path with an occurrence from line 10 on."""
+    return definition.covering(ix).where("start_line = 10 and end_line > 10").agg(F.min("relative_path")).scalar()
 
 
 PLACES = "select distinct relative_path, x.line from ix_documents, (select unnest([1, 5, 11, 21, 40]) as line) x"
@@ -249,13 +255,27 @@ def q28_index_state(ix):
     return status.state(ix)
 
 
-@query("select unnest(['" + "', '".join(sorted(SCHEMAS)) + "']) as name")
-def q29_schema_tables(ix):
-    spark = ix.symbols.sparkSession
-    return spark.createDataFrame([(t,) for t in sorted(vars(ix))], "name string")
+def q29_schema_tables(spark, folder):
+    """Which tables of an index a catalogue has: that of the star tables, where most are missing, and of the stored index."""
+    there = storage.catalogue(spark, folder)
+    stored = storage.catalogue(spark, stored_index(spark, folder).symbols.inputFiles()[0].rsplit("/", 2)[0])
+    return spark.createDataFrame([(t, t in there, t in stored) for t in sorted(TABLES)], "name string, in_star boolean, in_index boolean")
+
+
+QUERIES["q29_schema_tables"] = q29_schema_tables
+ORACLE_SQL["q29_schema_tables"] = "select name, name in (select table_name from information_schema.tables) in_star, true in_index from (select unnest(['" + "', '".join(sorted(TABLES)) + "']) as name)"
+
+
+def _json(fields: dict[str, str]) -> str:
+    """SQL for an object of those fields whose value is not null."""
+    return "'{' || concat_ws(',', " + ", ".join(f"""'"{k}":' || to_json({v})""" for k, v in fields.items()) + ") || '}'"
 
 
-@query()
+_SITE = _json({"file": "file", "line": "line", "column": "column_", "snippet": "snippet"})
+_RECORD = "'{' || concat_ws(',', '\"symbol\":' || to_json(symbol), '\"kind\":' || to_json(kind), '\"module\":' || to_json(module), case when line is not null then '\"definition\":' || " + _SITE + " end, " + ", ".join(f"""'"{k}":' || to_json(string_split({k}, ','))""" for k in DEFINITION_LISTS) + ", '\"documentation\":' || to_json(nullif(documentation, ''))) || '}'"
+
+
+@query(f"select symbol_id, {_RECORD} as json from defined")
 def q30_tool_json(ix):
     """A record of each definition as JSON, with empty parts left out."""
     d = definition.definitions(ix)
@@ -275,3 +295,43 @@ def q31_locations(ix):
 def q32_member_truncation(ix):
     m = R.members(ix)
     return m.select("owner", F.array_join(F.slice("members", 1, render.SHOWN), ", ").alias("shown"), F.greatest(F.size("members") - render.SHOWN, F.lit(0)).alias("more"))
+
+
+_PATH = "(select min(relative_path) from ix_documents d join ix_occurrences o on d.id = file_id where start_line = 10 and end_line > 10)"
+_LOST = "(select min(relative_path) from ix_documents d join ix_occurrences o on d.id = file_id where symbol_id like 'swift Gone %')"
+_NAMED = f"(select symbol_id from ix_symbols where {_like('symbol_id', '%part7%')} order by {_rank('symbol_id', 'part7')}, id limit 1)"
+
+
+def _go_to(case: str, path: str, line: int) -> str:
+    rows = f"select o.symbol_id from ix_occurrences o join ix_documents d on d.id = file_id where relative_path = {path} and start_line <= {line} and end_line >= {line} {AT} limit 1"
+    return f"select '{case}' as case_, * from defined where symbol_id = coalesce(({rows}), {_NAMED})"
+
+
+@query(" union all ".join([_go_to("place", _PATH, 11), f"select 'line 0', * from defined where symbol_id = {_NAMED}", _go_to("nothing there", _PATH, 100000), _go_to("unknown", _LOST, 900)]))
+def q33_go_to_definition(ix):
+    """By place, by name as there is no line 0, by name as nothing is at the place, and a place whose symbol is unknown (no row)."""
+    lost = definition.covering(ix).where(F.col("symbol_id").startswith("swift Gone ")).agg(F.min("relative_path")).scalar()
+    cases = {"place": (_some_path(ix), 11), "line 0": (_some_path(ix), 0), "nothing there": (_some_path(ix), 100_000), "unknown": (lost, 900)}
+    wanted = reduce(DataFrame.unionByName, (definition.wanted_symbol(ix, "part7", *place).withColumn("case_", F.lit(case)) for case, place in cases.items()))
+    return _text(definition.definitions(ix, wanted).join(F.broadcast(wanted), "symbol_id"), *DEFINITION_LISTS)
+
+
+@query("select '1' as version, 'unknown' as tool, 'unknown' as project_root, (select count(*) from ix_metadata where key = 'nope') found")
+def q34_metadata_missing(ix):
+    few = replace(ix, metadata=ix.metadata.where("key = 'version'"))
+    return status.summary(few).withColumn("found", status.metadata(ix, "nope").agg(F.count(F.lit(1))).scalar())
+
+
+@query(_search(_like("s.symbol_id", "%2%"), "2", 1 << 40))
+def q35_search_without_limit(ix):
+    return search.search(ix, "2", limit=-1)
+
+
+@query("select symbol_id, count(*) reference_count from ix_occurrences group by 1")
+def q36_reference_counts_with_definitions(ix):
+    return references.counts(ix, True)
+
+
+@query("select value from ix_metadata where key = 'tool'")
+def q37_metadata_value(ix):
+    return status.metadata(ix, "tool")

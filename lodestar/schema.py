@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 
 class SchemaError(ValueError):
@@ -23,18 +23,36 @@ class Role:
     TEST = 32
 
 
-def _struct(required: str, optional: str = "") -> StructType:
-    kinds = {"s": StringType(), "l": LongType(), "i": IntegerType()}
-    return StructType([StructField(n, kinds[k], null) for names, null in ((required, False), (optional, True)) for n, k in (x.split(":") for x in names.split())])
-
-
 SCHEMAS = {
-    "metadata": _struct("key:s value:s"),
-    "index_state": _struct("last_commit_hash:s last_indexed_at:l", "indexed_files:s"),
-    "documents": _struct("id:l relative_path:s language:s indexed_at:l"),
-    "symbols": _struct("id:l symbol_id:s", "kind:s documentation:s file_id:l"),
-    "relationships": _struct("id:l symbol_id:s target_symbol_id:s kind:s"),
-    "occurrences": _struct("id:l symbol_id:s file_id:l start_line:i start_column:i end_line:i end_column:i roles:i", "enclosing_symbol:s snippet:s"),
+    "metadata": StructType().add("key", StringType(), False).add("value", StringType(), False),
+    "index_state": StructType().add("last_commit_hash", StringType(), False).add("last_indexed_at", LongType(), False).add("indexed_files", StringType()),
+    "documents": StructType()
+    .add("id", LongType(), False)
+    .add("relative_path", StringType(), False)
+    .add("language", StringType(), False)
+    .add("indexed_at", LongType(), False),
+    "symbols": StructType()
+    .add("id", LongType(), False)
+    .add("symbol_id", StringType(), False)
+    .add("kind", StringType())
+    .add("documentation", StringType())
+    .add("file_id", LongType()),
+    "relationships": StructType()
+    .add("id", LongType(), False)
+    .add("symbol_id", StringType(), False)
+    .add("target_symbol_id", StringType(), False)
+    .add("kind", StringType(), False),
+    "occurrences": StructType()
+    .add("id", LongType(), False)
+    .add("symbol_id", StringType(), False)
+    .add("file_id", LongType(), False)
+    .add("start_line", IntegerType(), False)
+    .add("start_column", IntegerType(), False)
+    .add("end_line", IntegerType(), False)
+    .add("end_column", IntegerType(), False)
+    .add("roles", IntegerType(), False)
+    .add("enclosing_symbol", StringType())
+    .add("snippet", StringType()),
 }
 TABLES = frozenset(SCHEMAS)
 

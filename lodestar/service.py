@@ -36,12 +36,7 @@ class Navigator:
     def go_to_definition(self, symbol: str, file_path: str | None = None, line: int | None = None) -> dict[str, Any] | None:
         """The record of the symbol at a place if both file and line are given and something is there (None if that is no
         known symbol), else of the best match by name; None if there is none."""
-        if file_path and line:
-            at = definition.at_position(self.index, file_path, line).first()
-            if at:
-                row = definition.by_id(self.index, at["symbol_id"]).first()
-                return render.definition(row) if row else None
-        row = definition.by_name(self.index, symbol).first()
+        row = definition.go_to(self.index, symbol, file_path or None, line).first()
         return render.definition(row) if row else None
 
     def find_references(self, symbol: str, include_definitions: bool = False, limit: int = 50) -> dict[str, Any]:

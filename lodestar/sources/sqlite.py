@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from lodestar.schema import SCHEMAS, check_tables
 
-SPAN = 1 << 18  # rowids of a task
+SPAN = 1 << 18  # rows of a task
 
 
 def connect(path: str) -> sqlite3.Connection:
@@ -38,7 +38,7 @@ class Rowids(InputPartition):
 
 
 class TableReader(DataSourceReader):
-    """Reads one table by ranges of rowid, a task for each."""
+    """Reads one table by ranges of rowid with SPAN rows each, a task for each."""
 
     def __init__(self, path: str, name: str, columns: list[str]):
         self.path, self.name, self.columns = path, name, columns
@@ -46,12 +46,13 @@ class TableReader(DataSourceReader):
     def partitions(self) -> list[Rowids]:
         conn = connect(self.path)
         try:
-            low, high = conn.execute(f'select min(rowid), max(rowid) from "{self.name}"').fetchone()
+            first = [r[0] for r in conn.execute(f'select rowid from (select rowid, row_number() over (order by rowid) as n from "{self.name}") where n % ? = 1 or ? = 1', (SPAN, SPAN))]
+            high = conn.execute(f'select max(rowid) from "{self.name}"').fetchone()[0]
         finally:
             conn.close()
-        if low is None:
+        if not first:
             return [Rowids(0, -1)]
-        return [Rowids(a, min(a + SPAN - 1, high)) for a in range(low, high + 1, SPAN)]
+        return [Rowids(a, b) for a, b in zip(first, [*(x - 1 for x in first[1:]), high], strict=True)]
 
     def read(self, partition: Rowids):
         conn = connect(self.path)

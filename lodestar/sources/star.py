@@ -2,13 +2,17 @@
 
 Orders are files, parts types with a method each, suppliers types of a module, nations and regions protocols, every tenth
 customer a local symbol; line items are occurrences. Every 97th order is left out of the documents, so that some
-occurrences, definitions among them, stand in unknown files. Expressions are valid in Spark SQL and in DuckDB alike.
+occurrences, definitions among them, stand in unknown files; each region has an occurrence of a symbol that is not in the
+index. Expressions are valid in Spark SQL and in DuckDB alike.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 
+from lodestar import storage
 from lodestar.index import CodeIndex
 
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -42,7 +46,8 @@ TABLES = {
         union all select (p_partkey * 64 + 49) * 1048576, {_METHOD}, p_partkey, 2, 10, 2, 24, 1, {_PART}, 'func make()' from {{part}}
         union all select (p_partkey * 64 + 50) * 1048576, {_PART}, p_partkey + 1, 5, 1, 6, 9, 17, cast(null as {{text}}), '' from {{part}} where p_partkey % 7 = 0
         union all select (s_suppkey * 64 + 51) * 1048576, {_SUPPLIER}, s_suppkey * 4, 3, 7, 3, 30, 1, cast(null as {{text}}), 'class Supplier' from {{supplier}}
-        union all select (cast(n_nationkey as bigint) * 64 + 52) * 1048576, {_NATION.format(key="n_nationkey")}, cast(n_nationkey as bigint), 9, 10, 9, 30, 1, cast(null as {{text}}), cast(null as {{text}}) from {{nation}}""",
+        union all select (cast(n_nationkey as bigint) * 64 + 52) * 1048576, {_NATION.format(key="n_nationkey")}, cast(n_nationkey as bigint), 9, 10, 9, 30, 1, cast(null as {{text}}), cast(null as {{text}}) from {{nation}}
+        union all select (cast(r_regionkey as bigint) * 64 + 53) * 1048576, 'swift Gone Lost' || cast(r_regionkey as {{text}}) || '#', cast(r_regionkey as bigint) + 1, 900, 1, 900, 9, 8, cast(null as {{text}}), cast(null as {{text}}) from {{region}}""",
 }
 
 
@@ -60,3 +65,14 @@ def star_index(spark: SparkSession, folder: str) -> CodeIndex:
     """The index over `folder/<star table>.parquet`."""
     names = {t: f"parquet.`{folder}/{t}.parquet`" for t in STAR}
     return CodeIndex.from_frames({t: spark.sql(_filled(t, "string", names)) for t in TABLES})
+
+
+def stored_index(spark: SparkSession, folder: str) -> CodeIndex:
+    """The same index as CodeIndex.write() stores it, written once a session and folder: an index is built once and asked
+    often. It is written anew if the star tables change or the stored one is gone."""
+    state = storage.version(spark, [f"{folder}/{t}.parquet" for t in STAR])
+    path = f"{storage.session_dir(spark)}/index-{hashlib.sha256(f'{folder}\n{state}'.encode()).hexdigest()[:16]}"
+    if not storage.exists(spark, f"{path}/done"):
+        star_index(spark, folder).write(path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+    return CodeIndex.from_parquet(spark, path)

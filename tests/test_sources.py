@@ -1,3 +1,4 @@
+import re
 import sqlite3
 from pathlib import Path
 
@@ -28,6 +29,52 @@ def test_a_database_file_is_read_in_parts(spark, tmp_path, monkeypatch):
     assert len(parts) == 3 and [r for p in parts for r in reader.read(p)] == ROWS["occurrences"]
 
 
+def test_sparse_rowids_make_few_parts(tmp_path, monkeypatch):
+    rows = ROWS | {"symbols": [(1 << (9 * i), f"s{i}", None, None, None) for i in range(7)]}
+    path = tmp_path / "index.db"
+    conn = sqlite3.connect(path)
+    conn.execute("create table symbols (id integer primary key, symbol_id, kind, documentation, file_id)")
+    conn.executemany("insert into symbols values (?, ?, ?, ?, ?)", rows["symbols"])
+    conn.commit()
+    conn.close()
+    for span, parts in ((3, 3), (1, 7), (100, 1)):
+        monkeypatch.setattr(sqlite, "SPAN", span)
+        reader = sqlite.TableReader(str(path), "symbols", SCHEMAS["symbols"].names)
+        found = reader.partitions()
+        assert len(found) == parts and [r for p in found for r in reader.read(p)] == rows["symbols"]
+
+
+def test_lookups_push_their_filters_to_the_stored_index(spark, sample, tmp_path, capsys):
+    from lodestar.operators import definition, references
+
+    sample.write(str(tmp_path / "ix"))
+    again = CodeIndex.from_parquet(spark, str(tmp_path / "ix"))
+    for df in (references.page(again, ROWS["symbols"][0][1]), definition.by_id(again, ROWS["symbols"][0][1])):
+        df.explain("formatted")
+        assert re.search(r"PushedFilters: \[.*EqualTo\(symbol_id,swift MyModule MyClass#\)", capsys.readouterr().out)
+
+
+def test_a_catalogue_and_a_session_folder(spark, sample, tmp_path):
+    from lodestar import storage
+
+    sample.write(str(tmp_path / "ix"))
+    assert storage.catalogue(spark, str(tmp_path / "ix")) == sorted(SCHEMAS) and storage.catalogue(spark, str(tmp_path / "none")) == []
+    storage.delete(spark, str(tmp_path / "ix" / "symbols.parquet"))
+    with pytest.raises(SchemaError, match="missing tables: symbols$"):
+        CodeIndex.from_parquet(spark, str(tmp_path / "ix"))
+    assert storage.session_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from lodestar import storage
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        storage.shared_dir(session)
+
+
 def test_files_are_read_only_and_checked(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         sqlite.connect(str(tmp_path / "none.db"))
