@@ -23,14 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_watched: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
     path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _watched:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def watched() -> Iterator[list[str]]:
+    """Gathers where cut() writes tables inside the block."""
+    paths: list[str] = []
+    _watched.append(paths)
+    try:
+        yield paths
+    finally:
+        _watched.pop()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that cut() has written and nothing will read again."""
     for df in tables:

@@ -127,8 +127,9 @@ def _told(batch: pa.RecordBatch, units) -> np.ndarray:
     return out
 
 
-def _pack(kind: bool, shard: np.ndarray, ids: np.ndarray, text: np.ndarray, a, b, c, starts=None, sizes=None, body=None) -> Iterator[dict]:
-    """A row for each shard. ids: (d, th) of each text; text, a, b, c: of each entry; starts, sizes, body: content of each entry."""
+def _pack(kind: bool, shard: np.ndarray, ids: np.ndarray, text: np.ndarray, a, b, c, starts=None, sizes=None, body=None, tell=True) -> Iterator[dict]:
+    """A row for each shard. ids: (d, th) of each text; text, a, b, c: of each entry; starts, sizes, body: content of each entry;
+    tell: whether sizes are sent, too."""
     order = np.lexsort((text, shard))
     if not len(order):
         return
@@ -138,7 +139,7 @@ def _pack(kind: bool, shard: np.ndarray, ids: np.ndarray, text: np.ndarray, a, b
         texts, counts = np.unique(text[o], return_counts=True)
         row = {"shard": int(shard[o[0]]), "settled": kind, "docs": squeeze(ids[texts].T), "counts": squeeze(counts.astype(np.uint32))}
         row |= {k: squeeze(x[o]) if x is not None else None for k, x in (("a", a), ("b", b), ("c", c))}
-        row["sizes"] = squeeze(sizes[o].astype(np.uint32)) if sizes is not None else None
+        row["sizes"] = squeeze(sizes[o].astype(np.uint32)) if sizes is not None and tell else None
         row["body"] = squeeze(body[_spans(starts[o], sizes[o])]) if sizes is not None else None
         yield row
 
@@ -261,7 +262,7 @@ def repeated(rows: DataFrame, at: DataFrame, units: Units, lengths: tuple[int, .
             open_ = np.flatnonzero(least)
             key = (fp[open_] % np.uint64(shards)).astype(np.int32)
             sub = (fp[open_] >> np.uint64(32)).astype(np.uint32)
-            out += _pack(False, key, ids, text[open_], sub, first[open_], count[open_].astype(np.uint32), begin[open_], sizes[open_], body)
+            out += _pack(False, key, ids, text[open_], sub, first[open_], count[open_].astype(np.uint32), begin[open_], sizes[open_], body, units is not Bytes)
             yield _rows(out, _SCHEMA)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -271,7 +272,7 @@ def repeated(rows: DataFrame, at: DataFrame, units: Units, lengths: tuple[int, .
         sub = _array("a", open_, np.uint32)
         first, count = _array("b", open_, np.uint32).astype(np.int64), _array("c", open_, np.uint32).astype(np.int64)
         body = _array("body", open_, np.uint8)
-        size = _array("sizes", open_, np.uint32).astype(np.int64)
+        size = count + length - 1 if units is Bytes else _array("sizes", open_, np.uint32).astype(np.int64)
         begin = np.cumsum(size) - size
         group, n = H.exact(body, begin, begin + size, sub, H.spans(body, begin, begin + size))
         low, rep = _least(group, n, d), H.firsts(group, n)
