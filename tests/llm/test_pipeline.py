@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions, and the registered queries against their SQL."""
 
+import os
+
 import duckdb
 import public_tokenizers
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lodestar.llm import language_id
 from lodestar.llm.queries import ORACLE_SQL, QUERIES
+from lodestar.storage import session_dir
 from tests.llm.frames import CLASH, corpus, documents
 from tests.llm.test_dedup import plain_lines
 from tests.llm.test_pairs import plain_join
@@ -82,7 +85,9 @@ def test_contract_columns_come_first(spark):
 
 
 def test_run(spark):
+    before = set(os.listdir(session_dir(spark).removeprefix("file://"))) if os.path.isdir(session_dir(spark).removeprefix("file://")) else set()
     got = corpus_pipeline.run(spark, SF)
+    assert len(set(os.listdir(session_dir(spark).removeprefix("file://"))) - before) == 1  # the result's table
     assert 0 < got.count() <= 200 and got.select("doc_id").distinct().count() == got.count()
 
 
