@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, jaccard_join, language_id, line_dedup, sentence_pieces
-from lodestar.llm.common import LAST_ID, cut, fresh, table
+from lodestar.llm.common import LAST_ID, cut, fresh, table, watched
+from lodestar.storage import delete
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with watched() as paths:
+            docs = cut(stage(spark, docs, sf_dir))
+        # The last table written is the stage's result; nothing reads those of its steps, or the one before, again.
+        for path in (*done, *paths[:-1]):
+            delete(spark, path)
+        done = paths[-1:]
     return docs
