@@ -5,8 +5,9 @@ r = sqrt(2 - 2 c). Equal vectors of a label are one, with a weight, from the sta
 The top of each label's cover tree comes from a bounded sample of vectors (`sample`, a parameter); the
 nodes of one of its levels, the one that costs least, cut space into cells (a single one, where vectors lie so far apart
 from each other that cells would only repeat them).
-Every vector goes to the cell of its nearest node, and as a guest to each other cell in which a vector within r may have
-its home. A pair is counted for each of the two in its own home cell.
+Every vector goes to the cell of its nearest node; the farthest one in it gives the node's covering radius. Two cells whose
+covering balls are farther apart than r have nothing to do with each other. In the others, a vector is a guest if one within
+r of it may have its home there. A pair is counted for each of the two in its own home cell.
 
 A cell with more than `block` vectors is dealt in blocks and each pair of blocks is a task, so no task has more than two
 blocks. Within a task, cover trees (nested levels, radii halved from level to level, every vector within the level's
@@ -214,6 +215,35 @@ def _pivots(units: DataFrame, sample: int, most: int, radius: float) -> dict[str
     return out
 
 
+def _apart(units: DataFrame, pivots: dict[str, np.ndarray], radius: float) -> dict[str, np.ndarray]:
+    """For each label that has several cells, which pairs of them the covering radii of all rows keep apart."""
+    some = {k: p for k, p in pivots.items() if len(p) > 1}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = {k: np.zeros(len(p)) for k, p in some.items()}
+        for batch in batches:
+            labels = np.array(batch.column("label").to_pylist(), object)
+            for k in set(labels) & set(some):
+                x = _matrix(batch.column("x").filter(pa.array(labels == k)), int((labels == k).sum()))
+                d = 2.0 - 2.0 * (x @ some[k].T)
+                # Rounding may choose another of two nodes that are equally near: the row counts for both.
+                i, c = np.nonzero(d <= d.min(axis=1)[:, None] + 1e-9)
+                np.maximum.at(far[k], c, np.sqrt(np.maximum(0.0, d[i, c])))
+        rows = [{"label": k, "cell": c, "far": float(v)} for k, f in far.items() for c, v in enumerate(f)]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("label", pa.string()), ("cell", pa.int32()), ("far", pa.float64())]))
+
+    out = {}
+    if some:
+        far = {k: np.zeros(len(p)) for k, p in some.items()}
+        # As many rows as the sample has nodes, at most.
+        for label, cell, value in map_arrow(units.select("label", "x"), run, "label string, cell int, far double").groupBy("label", "cell").agg(F.max("far")).collect():
+            far[label][cell] = value
+        for k, p in some.items():
+            gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ p.T)))
+            out[k] = gap - far[k][:, None] - far[k][None, :] > radius + 1e-7
+    return out
+
+
 def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, sample: int = 4096, most: int = 64, block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """((id, n) partners of each id, (a, b) connections) of all vectors."""
     radius = float(np.sqrt(2 - 2 * cosine))
@@ -222,6 +252,7 @@ def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
     units = rows.groupBy("label", "same").agg(F.first("x").alias("x"), F.min("id").alias("lead"), F.count(F.lit(1)).alias("w"))
     units = cut(units.withColumn("id", F.monotonically_increasing_id()))
     pivots = _pivots(units, sample, most, radius)
+    apart = _apart(units, pivots, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,6 +261,8 @@ def links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
                 part = batch.filter(pa.array(labels == label))
                 x = _matrix(part.column("x"), part.num_rows)
                 home, reach = _reach(x, pivots.get(label, x[:1]), radius)
+                if label in apart:
+                    reach &= ~apart[label][home]
                 i, c = np.nonzero(reach)
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(i), pa.string()), pa.array(c, pa.int32()), pa.array(home[i] == c), part.column("id").take(pa.array(i)), part.column("w").take(pa.array(i)), _lists(x[i])], schema=dealt)
 
