@@ -5,6 +5,7 @@ Lists are joined to text in the results, so that both engines give flat columns.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -19,6 +20,7 @@ from lodestar.index import CodeIndex
 from lodestar.operators import definition, implementations, references, search, status
 from lodestar.plans import relations as R
 from lodestar.schema import TABLES, Role
+from lodestar.service import Navigator
 from lodestar.sources.star import oracle_ctes, stored_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,3 +337,65 @@ def q36_reference_counts_with_definitions(ix):
 @query("select value from ix_metadata where key = 'tool'")
 def q37_metadata_value(ix):
     return status.metadata(ix, "tool")
+
+
+def answer(sql: str):
+    """Register a call of the service under the function's name: one row, its answer as JSON."""
+
+    def add(fn: Callable[[Navigator], object]):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            found = fn(Navigator(stored_index(spark, folder)))
+            return spark.createDataFrame([(json.dumps(found, separators=(",", ":"), ensure_ascii=False),)], "json string")
+
+        QUERIES[fn.__name__] = run
+        ORACLE_SQL[fn.__name__] = _sql(sql)
+        return fn
+
+    return add
+
+
+def _list(row: str, rows: str, order: str) -> str:
+    return f"(select '[' || coalesce(string_agg({row}, ',' order by {order}), '') || ']' from ({rows}))"
+
+
+_REFERENCE = _json({"file": "file", "line": "line", "column": "column_", "snippet": "snippet", "context": "context"})
+_PAGE = f"{REFS} where roles & 1 = 0 and symbol_id = {_NAMED} order by file, line, id limit 3"
+
+
+@answer(
+    f"select '{{\"symbol\":' || to_json({_name('s')}) || ',\"reference_count\":' || (select count(*) from ix_occurrences where roles & 1 = 0 and symbol_id = s) || ',\"references\":' || {_list(_REFERENCE, _PAGE, 'file, line, id')}"
+    f" || ',\"grouped_by_module\":{{' || to_json({_module('s')}) || ':' || (select count(*) from ({_PAGE})) || '}}}}' as json from (select {_NAMED} as s)"
+)
+def q38_answer_references(nav):
+    return nav.find_references("part7", limit=3)
+
+
+_IMPLEMENTATION = _json({"name": "name", "kind": "kind", "module": "module", "file": "file", "line": "line", "snippet": "snippet", "members_implemented": "string_split(members, ',')"})
+_FEW = f"select * from implemented where target = (select symbol_id from ix_symbols where {_like('symbol_id', '%INation3%')} order by {_rank('symbol_id', 'INation3')}, case when kind = 'protocol' then 0 else 1 end, id limit 1) order by symbol_id, kind, relationship_kind limit 4"
+
+
+@answer(f"select '{{\"protocol\":\"INation3\",\"implementation_count\":' || (select count(*) from ({_FEW})) || ',\"implementations\":' || {_list(_IMPLEMENTATION, _FEW, 'symbol_id, kind, relationship_kind')} || '}}' as json")
+def q39_answer_implementations(nav):
+    return nav.find_implementations("INation3", 4)
+
+
+_FOUND = _search(_like("s.symbol_id", "%part1%"), "part1", 6)
+_MATCH = _json({"name": "name", "kind": "kind", "module": "module", "file": "file", "line": "line", "snippet": "snippet"})
+
+
+@answer(f"select {_list(_MATCH, _FOUND, _rank('symbol_id', 'part1') + ', symbol_id')} as json")
+def q40_answer_search(nav):
+    return nav.search_symbols("part1", limit=6)
+
+
+_WHERE = "(select o.symbol_id from ix_occurrences o join ix_documents d on d.id = file_id where relative_path = 'none' limit 1)"
+
+
+@answer(f"select {_RECORD} as json from defined where symbol_id = coalesce({_WHERE}, {_NAMED})")
+def q41_answer_definition(nav):
+    return nav.go_to_definition("part7", "none", 3)
+
+
+@answer("select '{\"version\":\"1\",\"tool\":\"star\",\"project_root\":\"/star\",\"last_commit\":\"abc123\",\"last_indexed\":1700000000' || " + " || ".join(f"',\"{t}\":' || (select count(*) from ix_{t})" for t in status.COUNTED) + " || '}' as json")
+def q42_answer_status(nav):
+    return nav.status()

@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import pytest
 
@@ -9,8 +11,8 @@ from tests.conftest import STAR
 @pytest.fixture(scope="module")
 def duck():
     conn = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
-        conn.execute(f"create view {t} as select * from '{STAR}/{t}.parquet'")
+    for t in os.listdir(STAR):
+        conn.execute(f"create view {t.removesuffix('.parquet')} as select * from '{STAR}/{t}'")
     return conn
 
 
