@@ -51,7 +51,7 @@ HOT = 20_000  # documents of a key from which on it is told by blocks
 SOME = 8  # keys of a sketch in the first round
 ARENA = 512  # documents of a block in an arena
 WIDEST = 64  # 64-bit words of a sketch in an arena, at most
-FOUND = 1 << 20  # pairs that a shard holds before it keeps a spanning forest of them only
+FOUND = 1 << 18  # pairs that a shard holds before it keeps a spanning forest of them only
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

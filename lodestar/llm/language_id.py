@@ -270,7 +270,7 @@ def identify(df: DataFrame, texts: dict[str, str], *, text_col: str = "text", bl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("language_id", _forget)
         parser = _parser(texts, block)
-        for batch in sub_batches(batches, text_col, 1 << 21):
+        for batch in sub_batches(batches, text_col, 1 << 20):
             found = parser.predict([x or "" for x in batch.column(text_col).to_pylist()])
             arrays = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [f.name for f in out.fields])

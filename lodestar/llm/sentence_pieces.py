@@ -43,12 +43,12 @@ BOUNDARY = re.compile(f"[^{SPACE}]{SPACE}")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model file
 HEAD = 7  # characters over which texts that begin alike share their steps
 PAIR = (2,)  # lengths to try, longest first, for a tail in which no longer piece ends
-MEMO = 600_000  # stretches whose ids a worker keeps, some 100 MB; the memo starts anew beyond that
+MEMO = 600_000  # stretches whose ids a worker keeps, some 300 MB with pairs and beginnings; memos start anew beyond that
 BLOCK = 1 << 16  # characters of a text that are fed at a time
 
 
 class Model:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -80,6 +80,7 @@ class Model:
                 tails.setdefault(piece[-3:], set()).add(len(piece))
         self.tails = {k: (*sorted(v, reverse=True), 2) for k, v in tails.items()}
         self.crosses = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.most = memo
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
         self.heads: dict[str, tuple[str, ...]] = {}
@@ -102,7 +103,7 @@ class Model:
         """Whether the merges leave a and b side by side."""
         key = (a, b)
         if (found := self.pairs.get(key)) is None:
-            if len(self.pairs) > MEMO:
+            if len(self.pairs) > self.most:
                 self.pairs.clear()
             found = self.pairs[key] = self._merge([*a, *b]) == [a, b]
         return found
@@ -127,7 +128,7 @@ class Model:
         if ids is None:
             ids = tuple(Window(self).all(SPACE + word))
             if len(word) <= 64:
-                if len(self.memo) >= MEMO:
+                if len(self.memo) >= self.most:
                     self.memo.clear()
                 self.memo[word] = ids
         return ids
@@ -280,7 +281,7 @@ class Window:
         m = self.m
         known = m.heads.get(head)
         if known is None:
-            if len(m.heads) >= MEMO // 4:
+            if len(m.heads) >= m.most // 4:
                 m.heads.clear()
             known = m.heads[head] = tuple(self._survivors(head, [""]))
         return list(known)
@@ -344,21 +345,21 @@ class Window:
         return out
 
 
-@lru_cache(maxsize=2)
-def model(path: str) -> Model:
-    return Model(path)
+@lru_cache(maxsize=1)
+def model(path: str, memo: int = MEMO) -> Model:
+    return Model(path, memo)
 
 
-def encode(df: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, *, text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """df with ids array<int>, decoded string (of those ids) and exact (decoding gives the text back) added, in place of
-    columns so named. path: a model file, readable on executors."""
+    columns so named. path: a model file, readable on executors; memo: stretches that a worker remembers."""
     df = df.drop("ids", "decoded", "exact")
     out = StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType()), StructField("exact", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("sentence_pieces", model.cache_clear)
-        m = model(path)
-        for batch in sub_batches(batches, text_col, 1 << 21):
+        m = model(path, memo)
+        for batch in sub_batches(batches, text_col, 1 << 20):
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             ids = [m.encode(x) for x in texts]
             decoded = [m.decode(x) for x in ids]
