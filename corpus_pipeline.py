@@ -58,7 +58,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = sentence_pieces.encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = sentence_pieces.encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), public_tokenizers.path("piece_bpe_32k.model"), memo=150_000)
     return found.select("doc_id", F.col("ids"), F.size("ids").cast("long").alias("n_ids"), F.col("exact").alias("round_trip"))
 
 
