@@ -8,15 +8,18 @@ in it, the leftmost if several are equal. Equal windows show equal ones, at the
    around the others are windows of the next length made; with no candidate left, later levels have nothing to read;
 2. at the last level, the run of windows that show the same one is sent, as its content, to where all runs of that one
    meet (`repeated`); there the operator's own method finds which windows are equal, and the least document of each;
-3. what is found comes back as runs of windows of a document (`marked`).
+3. what is found comes back as runs of windows (`marked`).
 
-Shown windows and runs travel as packed arrays, a row for a shard and a batch of texts. Before that each batch is
-reduced: a window (a run of the same content) that several documents of a batch share is sent for one of them, and the
-others are settled at once. So a group of copies costs a shard one entry a batch, not one a copy. Hashes choose
-candidates only, where a false match costs time; contents count as equal when their bytes are.
+The texts are dealt once to buckets, by a hash of id and text, as many as a shuffle has partitions. A bucket's texts have
+an order (by id and hash), so a unit's place in its bucket stands for its document: what is sent holds no ids of texts,
+and its size hardly depends on how many shards there are. Shown windows and runs travel as packed arrays, a row for a
+shard and a bucket. Of shown windows those are the different hashes, and the live ones among them come back. Of the runs of
+a bucket that have the same content those of the least document are sent, and the others are settled at once. So a group
+of copies costs a shard one entry a bucket, not one a copy. Hashes choose candidates only, where a false match costs time;
+contents count as equal when their bytes are.
 
 Defined cases: an empty table has no windows; texts may be of any length (a batch has one text at least, and memory grows
-with the longest text); of df only the two named columns are read.
+with the longest text, and with the texts of a bucket); of df only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
-from lodestar.llm.common import LAST_ID, hold, map_arrow, squeeze, sub_batches, tasks, text_bytes, unsqueezed
+from lodestar.llm.common import LAST_ID, hold, release, squeeze, sub_batches, tasks, text_bytes, unsqueezed
 from lodestar.llm.native import keyed
 
-SHARDS = 1  # a shuffle partition
 PART = 1 << 19  # bytes of contents that a shard compares at a time, if no shown window has more
-PACKED = "shard int, settled boolean, docs binary, counts binary, a binary, b binary, c binary, sizes binary, body binary"
+FLUSH = 1 << 26  # bytes of contents that a bucket holds before they are sent
+PLACE = 24  # bits that hashes of shown windows leave for a place
 
 
 class Bytes:
@@ -99,49 +102,37 @@ def sliding_argmin(values: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
+def shown(grams: np.ndarray, span: int) -> np.ndarray:
+    """As sliding_argmin() of the hashes without their last PLACE bits: one minimum of hash and place together."""
+    high = grams >> np.uint64(PLACE)
+    if len(grams) >= 1 << PLACE:
+        return sliding_argmin(high, span)
+    low, have = (high << np.uint64(PLACE)) | np.arange(len(grams), dtype=np.uint64), 1
+    while have < span:
+        step = min(have, span - have)
+        low, have = np.minimum(low[step:], low[:-step]), have + step
+    return (low & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+
+
 def runs(units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of `length` that show one window of `gram`: text, first window, windows, place and hash of what they show."""
     none = np.zeros(0, np.int64)
     if units.n < length:
         return none, none, none, none, np.zeros(0, np.uint64)
     g = units.grams(gram)
-    at = sliding_argmin(g, length - gram + 1)[: units.n - length + 1]
-    text = np.searchsorted(units.offsets, np.arange(len(at)), side="right") - 1
-    whole = np.flatnonzero(np.arange(len(at)) + length <= units.offsets[text + 1])
+    at = shown(g, length - gram + 1)[: units.n - length + 1]
+    # A window that runs on into the next text is none.
+    whole = _spans(units.offsets[:-1], np.maximum(np.diff(units.offsets) - length + 1, 0))
     if not len(whole):
         return none, none, none, none, np.zeros(0, np.uint64)
+    at = at[whole]
     new = np.ones(len(whole), bool)
-    new[1:] = (at[whole][1:] != at[whole][:-1]) | (whole[1:] != whole[:-1] + 1)
+    new[1:] = (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(whole)))
-    start = whole[first]
-    return text[start], start, count, at[start], g[at[start]]
-
-
-def _told(batch: pa.RecordBatch, units) -> np.ndarray:
-    """Which units begin a live window, by the batch's column `at`."""
-    lists = batch.column("at")
-    owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-    out = np.zeros(units.n + 1, bool)
-    out[units.offsets[owner] + lists.flatten().to_numpy()] = True
-    return out
-
-
-def _pack(kind: bool, shard: np.ndarray, ids: np.ndarray, text: np.ndarray, a, b, c, starts=None, sizes=None, body=None, tell=True) -> Iterator[dict]:
-    """A row for each shard. ids: (d, th) of each text; text, a, b, c: of each entry; starts, sizes, body: content of each entry;
-    tell: whether sizes are sent, too."""
-    order = np.lexsort((text, shard))
-    if not len(order):
-        return
-    bounds = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    for i, j in zip(bounds, [*bounds[1:], len(order)], strict=True):
-        o = order[i:j]
-        texts, counts = np.unique(text[o], return_counts=True)
-        row = {"shard": int(shard[o[0]]), "settled": kind, "docs": squeeze(ids[texts].T), "counts": squeeze(counts.astype(np.uint32))}
-        row |= {k: squeeze(x[o]) if x is not None else None for k, x in (("a", a), ("b", b), ("c", c))}
-        row["sizes"] = squeeze(sizes[o].astype(np.uint32)) if sizes is not None and tell else None
-        row["body"] = squeeze(body[_spans(starts[o], sizes[o])]) if sizes is not None else None
-        yield row
+    start, at = whole[first], at[first]
+    text = np.searchsorted(units.offsets, start, side="right") - 1
+    return text, start, count, at, g[at]
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -152,27 +143,82 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
 
 
-def _array(name: str, table: pa.Table, dtype) -> np.ndarray:
-    return unsqueezed(table.column(name).to_pylist(), dtype)
+def planes(values: np.ndarray) -> bytes:
+    """squeeze() of numbers below 2^32, first the last byte of each, then the next: small numbers take few bytes."""
+    return squeeze(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def unplaned(part: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unsqueezed([part], np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def steps(values: np.ndarray) -> bytes:
+    """planes() of the differences of rising numbers."""
+    return planes(np.diff(values.astype(np.int64), prepend=0))
+
+
+def unstepped(part: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(part))
+
+
+def even(n: int) -> np.ndarray:
+    """n numbers that Spark's hash deals to n different partitions of n."""
+    out, left, begin = np.full(n, -1, np.int64), n, 0
+    while left:
+        k = np.arange(begin, begin + 4 * n + 64, dtype=np.uint32)
+        h = k * np.uint32(0xCC9E2D51)
+        h = ((h << np.uint32(15)) | (h >> np.uint32(17))) * np.uint32(0x1B873593) ^ np.uint32(42)
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        part = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+        found, at = np.unique(part, return_index=True)
+        new = out[found] < 0
+        out[found[new]] = k[at[new]]
+        left, begin = int((out < 0).sum()), begin + len(k)
+    return out
+
+
+def _rows(rows: list[dict], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema)
+
+
+def _texts(bucket: pa.Table, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The bucket's texts in its order, in batches of about `most` bytes, with the d of each."""
+    d, th = (bucket.column(x).to_numpy() for x in ("d", "th"))
+    order = np.lexsort((th, d))
+    texts = bucket.select(["d", "text"]).set_column(1, "text", bucket.column("text").cast(pa.large_string())).take(order)
+    for batch in sub_batches(texts.combine_chunks().to_batches(), "text", most):
+        yield batch, batch.column("d").to_numpy()
 
 
-def _docs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(d, th) of each entry."""
-    ids = [unsqueezed([x], np.int64).reshape(2, -1) for x in table.column("docs").to_pylist()]
-    ids = np.concatenate(ids, axis=1) if ids else np.zeros((2, 0), np.int64)
-    ids = np.repeat(ids, _array("counts", table, np.uint32).astype(np.int64), axis=1)
-    return ids[0], ids[1]
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its entries in their order) of each shard there is."""
+    order = np.argsort(shard, kind="stable")
+    bounds = [*np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist(), len(order)]
+    for i, j in pairwise(bounds):
+        yield int(shard[order[i]]), order[i:j]
 
 
-def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema)
+def _split(fp: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, what tells hashes of a shard apart)."""
+    return (fp % np.uint64(shards)).astype(np.int64), (fp >> np.uint64(32)).astype(np.int64)
 
 
-_SCHEMA = pa.schema([("shard", pa.int32()), ("settled", pa.bool_()), *((n, pa.binary()) for n in ("docs", "counts", "a", "b", "c", "sizes", "body"))])
+class _Live:
+    """The hashes that are live, of those a bucket has told."""
 
+    def __init__(self, replies: pa.Table, shards: int):
+        self.shards = shards
+        parts = [(s << 32) + unstepped(x) for s, x in zip(*(replies.column(c).to_pylist() for c in ("shard", "live")), strict=True)]
+        self.keys = np.sort(np.concatenate([np.zeros(0, np.int64), *parts]))
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([batch.column("d").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
+    def has(self, fp: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(fp), bool)
+        shard, sub = _split(fp, self.shards)
+        key = (shard << 32) + sub
+        return self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
 
 
 def _least(group: np.ndarray, n: int, d: np.ndarray) -> np.ndarray:
@@ -181,98 +227,139 @@ def _least(group: np.ndarray, n: int, d: np.ndarray) -> np.ndarray:
     return low
 
 
-def live(rows: DataFrame, at: DataFrame | None, units: Units, lengths: tuple[int, ...], most: int) -> DataFrame:
-    """(d, th, at array<int>): places of the shown windows that more than one document has. rows: d, th, text; lengths: of
-    the windows that are live so far (by `at`), if there are any, of those looked up, of those that show them."""
-    shards = SHARDS * tasks(rows)
+_TOLD = pa.schema([("shard", pa.int32()), ("b", pa.int32()), ("sub", pa.binary()), ("many", pa.binary())])
+_LIVE = pa.schema([("b", pa.int32()), ("shard", pa.int32()), ("live", pa.binary())])
+
+
+def live(texts: DataFrame, known: DataFrame | None, units: Units, lengths: tuple[int, ...], most: int) -> DataFrame:
+    """(b, shard, live): those hashes of a bucket's shown windows that more than one document has. texts: b, d, th, text;
+    lengths: of the windows that are live so far (by `known`), if there are any, of those looked up, of those that show
+    them."""
+    shards = tasks(texts)
+    deal = even(shards).astype(np.int32)
     gram, length = lengths[-2:]
-    source = rows.select("d", "th", "text") if at is None else rows.select("d", "th", "text").join(at, ["d", "th"])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(bucket: pa.Table, before: _Live | None) -> pa.Table:
         hold("repeats", lambda: None)
-        for batch in sub_batches(batches, "text", most):
+        fps, many = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch, ids in _texts(bucket, most):
             u = units(*text_bytes(batch.column("text")))
-            ids = _ids(batch)
-            text, start, _, at, fp = runs(u, length, gram)
-            if len(text) and len(lengths) > 2:
+            text, _, _, at, fp = runs(u, length, gram)
+            if before is not None and len(text):
                 # Only windows around one that is live at the length before are still candidates.
-                shows = sliding_argmin(u.grams(lengths[-3]), gram - lengths[-3] + 1)
-                keep = _told(batch, u)[shows[at]]
-                text, at, fp = text[keep], at[keep], fp[keep]
+                g = u.grams(lengths[-3])
+                keep = before.has(g[shown(g, gram - lengths[-3] + 1)[at]])
+                text, fp = text[keep], fp[keep]
             if not len(text):
                 continue
-            d, place = ids[text, 0], (at - u.offsets[text]).astype(np.uint32)
-            group, n = H.classes(fp)
-            low = _least(group, n, d)
-            high = -_least(group, n, -d)
-            many = (low < high)[group]
-            key, sub = (fp % np.uint64(shards)).astype(np.int32), (fp >> np.uint64(32)).astype(np.uint32)
-            single = np.flatnonzero(~many)
-            out = list(_pack(False, key[single], ids, text[single], sub[single], place[single], None))
-            # For one of several documents: all its places are live; one entry a hash tells other batches.
-            told = np.flatnonzero(many)
-            out += _pack(True, (text[told] % shards).astype(np.int32), ids, text[told], None, place[told], None)
-            one = told[np.unique(group[told], return_index=True)[1]]
-            out += _pack(False, key[one], ids, text[one], sub[one], np.full(len(one), 2**32 - 1, np.uint32), None)
-            yield _rows(out, _SCHEMA)
+            # Texts of a batch are in the order of d.
+            order = np.argsort(fp, kind="stable")
+            d, fp = ids[text][order], fp[order]
+            first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+            fps.append(fp[first])
+            low.append(d[first])
+            high.append(d[np.append(first[1:], len(fp)) - 1])
+        fp, low, high = map(np.concatenate, (fps, low, high))
+        del fps
+        if not len(fp):
+            return _TOLD.empty_table()
+        order = np.argsort(fp, kind="stable")
+        fp, low, high = fp[order], low[order], high[order]
+        first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+        many = low[first] < high[np.append(first[1:], len(fp)) - 1]
+        # Rising hashes have rising subs.
+        shard, sub = _split(fp[first], shards)
+        b = bucket.column("b")[0].as_py()
+        out = [{"shard": int(deal[s]), "b": b, "sub": steps(sub[o]), "many": squeeze(np.packbits(many[o]))} for s, o in _by_shard(shard)]
+        release()
+        return _rows(out, _TOLD)
 
     def meet(table: pa.Table) -> pa.Table:
-        settled = table.filter(table.column("settled"))
-        open_ = table.filter(pc.invert(table.column("settled")))
-        d, th = _docs(open_)
-        sub, place = _array("a", open_, np.uint32), _array("b", open_, np.uint32)
-        group, n = H.classes(sub)
-        low, high = _least(group, n, d), -_least(group, n, -d)
-        told = place == 2**32 - 1
-        many = low < high
-        many[group[told]] = True
-        keep = many[group] & ~told
-        sd, sth = _docs(settled)
-        return pa.table({"d": np.concatenate([d[keep], sd]), "th": np.concatenate([th[keep], sth]), "at": np.concatenate([place[keep], _array("b", settled, np.uint32)]).astype(np.int32)})
-
-    found = map_arrow(source, send, PACKED).groupBy("shard").applyInArrow(meet, "d long, th long, at int")
-    return found.groupBy("d", "th").agg(F.collect_list("at").alias("at"))
-
-
-def repeated(rows: DataFrame, at: DataFrame, units: Units, lengths: tuple[int, ...], method: Method, most: int) -> DataFrame:
-    """(d, th, start, n): runs of windows (first, how many) that also start in a smaller document."""
-    shards = SHARDS * tasks(rows)
+        # Where a sub occurs twice, several buckets have it (or two hashes, which costs time only).
+        subs = [unstepped(x) for x in table.column("sub").to_pylist()]
+        size = np.array([len(x) for x in subs])
+        many = np.concatenate([np.unpackbits(unsqueezed([x], np.uint8), count=n) for x, n in zip(table.column("many").to_pylist(), size.tolist(), strict=True)]).astype(bool)
+        sub = np.concatenate(subs)
+        order = np.argsort(sub, kind="stable")
+        first = np.flatnonzero(np.append(True, sub[order][1:] != sub[order][:-1]))
+        count = np.diff(np.append(first, len(sub)))
+        many[order] = np.repeat((count > 1) | np.logical_or.reduceat(many[order], first), count)
+        ends = np.cumsum(size)
+        shard = np.flatnonzero(deal == table.column("shard")[0].as_py())[0]
+        out = [{"b": b, "shard": int(shard), "live": steps(sub[i:j][many[i:j]])} for b, i, j in zip(table.column("b").to_pylist(), (ends - size).tolist(), ends.tolist(), strict=True) if many[i:j].any()]
+        return _rows(out, _LIVE)
+
+    told = "shard int, b int, sub binary, many binary"
+    if known is None:
+        sent = texts.groupBy("b").applyInArrow(lambda bucket: tell(bucket, None), told)
+    else:
+        sent = texts.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(lambda bucket, found: tell(bucket, _Live(found, shards)) if len(found) else _TOLD.empty_table(), told)
+    return sent.groupBy("shard").applyInArrow(meet, "b int, shard int, live binary")
+
+
+_SENT = pa.schema([("shard", pa.int32()), ("b", pa.int32()), ("settled", pa.bool_()), *((n, pa.binary()) for n in ("start", "count", "sub", "d", "sizes", "body"))])
+_FOUND = pa.schema([("b", pa.int32()), ("start", pa.binary()), ("n", pa.binary())])
+
+
+def repeated(texts: DataFrame, known: DataFrame, units: Units, lengths: tuple[int, ...], method: Method, most: int) -> DataFrame:
+    """(b, start, n): runs of windows (first unit in the bucket, how many) that also start in a smaller document."""
+    shards = tasks(texts)
+    deal = even(shards).astype(np.int32)
     gram, length = lengths[-2:]
-    joined = rows.select("d", "th", "text").join(at, ["d", "th"])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(b: int, d: np.ndarray, start: np.ndarray, count: np.ndarray, fp: np.ndarray, body: np.ndarray, size: np.ndarray) -> Iterator[dict]:
+        begin = np.cumsum(size) - size
+        group, n = H.exact(body, begin, begin + size, fp, H.spans(body, begin, begin + size))
+        least = d == _least(group, n, d)[group]
+        done = np.flatnonzero(~least)
+        if len(done):
+            yield {"shard": int(deal[b % shards]), "b": b, "settled": True, "start": steps(start[done]), "count": planes(count[done])}
+        open_ = np.flatnonzero(least)
+        shard, sub = _split(fp[open_], shards)
+        for s, o in _by_shard(shard):
+            e = open_[o]
+            row = {"shard": int(deal[s]), "b": b, "settled": False, "start": steps(start[e]), "count": planes(count[e]), "sub": planes(sub[o]), "d": squeeze(np.diff(d[e], prepend=0))}
+            yield row | {"sizes": None if units is Bytes else planes(size[e]), "body": squeeze(body[_spans(begin[e], size[e])])}
+
+    def send(bucket: pa.Table, replies: pa.Table) -> pa.Table:
         hold("repeats", lambda: None)
-        for batch in sub_batches(batches, "text", most):
+        out, have, base = [], [], 0
+        if not len(replies):
+            return _SENT.empty_table()
+        b, found = bucket.column("b")[0].as_py(), _Live(replies, shards)
+        for batch, ids in _texts(bucket, most):
             u = units(*text_bytes(batch.column("text")))
-            ids = _ids(batch)
-            text, start, count, place, fp = runs(u, length, gram)
-            if not len(text):
-                continue
-            keep = _told(batch, u)[place]
+            text, start, count, _, fp = runs(u, length, gram)
+            keep = found.has(fp)
             text, start, count, fp = text[keep], start[keep], count[keep], fp[keep]
-            if not len(text):
-                continue
-            body, begin, end = u.contents(start, start + count + length - 1)
-            d, first, sizes = ids[text, 0], (start - u.offsets[text]).astype(np.uint32), end - begin
-            group, n = H.exact(body, begin, end, fp, H.spans(body, begin, end))
-            least = d == _least(group, n, d)[group]
-            out = []
-            done = np.flatnonzero(~least)
-            out += _pack(True, (text[done] % shards).astype(np.int32), ids, text[done], None, first[done], count[done].astype(np.uint32))
-            open_ = np.flatnonzero(least)
-            key = (fp[open_] % np.uint64(shards)).astype(np.int32)
-            sub = (fp[open_] >> np.uint64(32)).astype(np.uint32)
-            out += _pack(False, key, ids, text[open_], sub, first[open_], count[open_].astype(np.uint32), begin[open_], sizes[open_], body, units is not Bytes)
-            yield _rows(out, _SCHEMA)
+            if len(text):
+                body, begin, end = u.contents(start, start + count + length - 1)
+                have.append((ids[text], base + start, count, fp, body[_spans(begin, end - begin)], end - begin))
+            base += u.n
+            if sum(len(x[4]) for x in have) > FLUSH:
+                out += pack(b, *map(np.concatenate, zip(*have, strict=True)))
+                have = []
+        if have:
+            out += pack(b, *map(np.concatenate, zip(*have, strict=True)))
+        del have
+        release()
+        return _rows(out, _SENT)
 
     def meet(table: pa.Table) -> pa.Table:
-        settled = table.filter(table.column("settled"))
-        open_ = table.filter(pc.invert(table.column("settled")))
-        d, th = _docs(open_)
-        sub = _array("a", open_, np.uint32)
-        first, count = _array("b", open_, np.uint32).astype(np.int64), _array("c", open_, np.uint32).astype(np.int64)
-        body = _array("body", open_, np.uint8)
-        size = count + length - 1 if units is Bytes else _array("sizes", open_, np.uint32).astype(np.int64)
+        out = [{"b": b, "start": x, "n": n} for b, x, n, done in zip(*(table.column(c).to_pylist() for c in ("b", "start", "count", "settled")), strict=True) if done]
+        table = table.filter(pc.invert(table.column("settled")))
+        if not len(table):
+            return _rows(out, _FOUND)
+        read = lambda name, fn: [fn(x) for x in table.column(name).to_pylist()]
+        first = read("start", unstepped)
+        ends = np.cumsum([len(x) for x in first])
+        first, count, sub = (np.concatenate(x) for x in (first, read("count", unplaned), read("sub", unplaned)))
+        d = np.concatenate(read("d", lambda x: np.cumsum(unsqueezed([x], np.int64))))
+        body = unsqueezed(table.column("body").to_pylist(), np.uint8)
+        size = count + length - 1 if units is Bytes else np.concatenate(read("sizes", unplaned))
+        buckets = table.column("b").to_pylist()
+        del table
         begin = np.cumsum(size) - size
         group, n = H.exact(body, begin, begin + size, sub, H.spans(body, begin, begin + size))
         low, rep = _least(group, n, d), H.firsts(group, n)
@@ -307,33 +394,48 @@ def repeated(rows: DataFrame, at: DataFrame, units: Units, lengths: tuple[int, .
         stop = hit.copy()
         stop[:-1] &= ~(hit[1:] & (entry[1:] == entry[:-1]))
         i, j = np.flatnonzero(new), np.flatnonzero(stop)
-        sd, sth = _docs(settled)
-        sb, sc = _array("b", settled, np.uint32), _array("c", settled, np.uint32)
-        return pa.table({"d": np.concatenate([d[entry[i]], sd]), "th": np.concatenate([th[entry[i]], sth]), "start": np.concatenate([place[i], sb]).astype(np.int32), "n": np.concatenate([j - i + 1, sc]).astype(np.int32)})
+        place, n, row = place[i], j - i + 1, np.searchsorted(ends, entry[i], side="right")
+        for r, o in _by_shard(row):
+            out.append({"b": buckets[r], "start": steps(place[o]), "n": planes(n[o])})
+        return _rows(out, _FOUND)
+
+    sent = "shard int, b int, settled boolean, start binary, count binary, sub binary, d binary, sizes binary, body binary"
+    return texts.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(send, sent).groupBy("shard").applyInArrow(meet, "b int, start binary, n binary")
 
-    return map_arrow(joined, send, PACKED).groupBy("shard").applyInArrow(meet, "d long, th long, start int, n int")
 
+#: From a batch (d, text), its units and which of them are covered, to the rows of the result without the id.
+Finish = Callable[[pa.RecordBatch, "Bytes | Words", np.ndarray], list[dict]]
 
-def marked(df: DataFrame, units: Units, lengths: tuple[int, ...], method: Method, *, id_col: str, text_col: str, most: int) -> DataFrame:
-    """(d, th, doc_id, text, runs array<struct<start, n>>) of every row of df; runs is null where there are none."""
+
+def marked(df: DataFrame, units: Units, lengths: tuple[int, ...], method: Method, finish: Finish, columns: str, schema: pa.Schema, *, id_col: str, text_col: str, most: int) -> DataFrame:
+    """doc_id and what `finish` makes (columns, as Spark and Arrow name them) of every row of df."""
     rows = keyed(df, id_col, text_col)
+    n, length = tasks(rows), lengths[-1]
+    deal = F.element_at(F.lit(even(n).tolist()), (F.pmod(F.xxhash64("d", "th"), F.lit(n)) + 1).cast("int"))
+    # One exchange of the texts serves all steps.
+    texts = rows.select(deal.cast("int").alias("b"), "d", "th", "text")
     at, known = None, ()
-    for gram, length in pairwise(lengths):
-        at, known = live(rows, at, units, (*known, gram, length), most), (gram,)
-    found = repeated(rows, at, units, lengths, method, most)
-    by_doc = found.groupBy("d", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    # The same exchange of (d, th, text) serves this join and the ones before.
-    joined = rows.select("d", "th", "text").join(by_doc, ["d", "th"], "left")
-    return joined.select("d", "th", F.when(F.col("d") != LAST_ID, F.col("d")).alias("doc_id"), "text", "runs")
-
-
-def covered(batch: pa.RecordBatch, offsets: np.ndarray, total: int, length: int) -> np.ndarray:
-    """Which of all units of a batch lie in a window of its texts' runs."""
-    lists = batch.column("runs")
-    owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-    flat = lists.flatten()
-    start = offsets[owner] + flat.field("start").to_numpy(zero_copy_only=False)
-    step = np.zeros(total + 1, np.int64)
-    np.add.at(step, start, 1)
-    np.add.at(step, start + flat.field("n").to_numpy(zero_copy_only=False) + length - 1, -1)
-    return np.cumsum(step[:-1]) > 0
+    for gram, wide in pairwise(lengths):
+        at, known = live(texts, at, units, (*known, gram, wide), most), (gram,)
+    found = repeated(texts, at, units, lengths, method, most)
+    schema = schema.insert(0, pa.field("doc_id", pa.int64()))
+
+    def end(bucket: pa.Table, replies: pa.Table) -> pa.Table:
+        hold("repeats", lambda: None)
+        starts = np.concatenate([np.zeros(0, np.int64), *map(unstepped, replies.column("start").to_pylist())])
+        counts = np.concatenate([np.zeros(0, np.int64), *map(unplaned, replies.column("n").to_pylist())])
+        order = np.argsort(starts)
+        starts, counts = starts[order], counts[order]
+        out, base = [schema.empty_table()], 0
+        for batch, ids in _texts(bucket, most):
+            u = units(*text_bytes(batch.column("text")))
+            i, j = np.searchsorted(starts, [base, base + u.n])
+            step = np.zeros(u.n + 1, np.int64)
+            np.add.at(step, starts[i:j] - base, 1)
+            np.add.at(step, starts[i:j] - base + counts[i:j] + length - 1, -1)
+            made = finish(batch, u, np.cumsum(step[:-1]) > 0)
+            out.append(pa.Table.from_pylist([{"doc_id": int(d) if d != LAST_ID else None} | x for d, x in zip(ids.tolist(), made, strict=True)], schema))
+            base += u.n
+        return pa.concat_tables(out)
+
+    return texts.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(end, f"doc_id long, {columns}")

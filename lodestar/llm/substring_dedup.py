@@ -16,7 +16,7 @@ any length, memory grows with the longest; other columns of the table are neithe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import hashes as H
 from lodestar.llm import repeats
-from lodestar.llm.common import map_arrow, sub_batches, table, text_bytes
+from lodestar.llm.common import table
 
 BATCH = 1 << 22
 SHORT = 16
@@ -68,23 +68,18 @@ def by_doubling(length: int) -> repeats.Method:
 
 def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept (the words that stay, joined by a space)) of every row."""
-    rows = repeats.marked(df, repeats.Words, levels(length), by_doubling(length), id_col=id_col, text_col=text_col, most=BATCH)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text", BATCH):
-            data, offsets = text_bytes(batch.column("text"))
-            start, end, at = H.bounds(data, offsets)
-            gone = repeats.covered(batch, at, len(start), length)
-            raw, out = data.tobytes(), []
-            for i in range(batch.num_rows):
-                a, b = at[i], at[i + 1]
-                stay = np.flatnonzero(~gone[a:b]) + a
-                kept = b" ".join([raw[x:y] for x, y in zip(start[stay].tolist(), end[stay].tolist(), strict=True)])
-                out.append({"doc_id": batch.column("doc_id")[i].as_py(), "n_words": int(b - a), "n_removed": int(b - a - len(stay)), "kept": kept.decode()})
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    return map_arrow(rows.select("doc_id", "text", "runs"), finish, "doc_id long, n_words long, n_removed long, kept string")
+
+    def finish(batch: pa.RecordBatch, units: repeats.Words, gone: np.ndarray) -> list[dict]:
+        raw, at, out = units.data.tobytes(), units.offsets.tolist(), []
+        for a, b in pairwise(at):
+            stay = np.flatnonzero(~gone[a:b]) + a
+            kept = b" ".join([raw[x:y] for x, y in zip(units.start[stay].tolist(), units.end[stay].tolist(), strict=True)])
+            out.append({"n_words": b - a, "n_removed": b - a - len(stay), "kept": kept.decode()})
+        return out
+
+    schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    columns = "n_words long, n_removed long, kept string"
+    return repeats.marked(df, repeats.Words, levels(length), by_doubling(length), finish, columns, schema, id_col=id_col, text_col=text_col, most=BATCH)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

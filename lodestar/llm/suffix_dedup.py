@@ -13,14 +13,13 @@ other; rows that repeat an id don't precede each other, either; kept bytes need
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import repeats
-from lodestar.llm.common import map_arrow, sub_batches, table, text_bytes
+from lodestar.llm.common import table
 from lodestar.llm.suffix_array import equal_windows
 
 BATCH = 1 << 20
@@ -38,24 +37,20 @@ def by_suffixes(length: int) -> repeats.Method:
 
 def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<start, end>>) of every row; spans are removed."""
-    rows = repeats.marked(df, repeats.Bytes, (max(1, length // 3), length), by_suffixes(length), id_col=id_col, text_col=text_col, most=BATCH)
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text", BATCH):
-            data, offsets = text_bytes(batch.column("text"))
-            gone = repeats.covered(batch, offsets, len(data), length)
-            out = []
-            for i in range(batch.num_rows):
-                a, b = offsets[i], offsets[i + 1]
-                edge = np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)
-                spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
-                kept = data[a:b][~gone[a:b]] if len(spans) else data[a:b]
-                out.append({"doc_id": batch.column("doc_id")[i].as_py(), "n_bytes": int(b - a), "n_removed": int(b - a - len(kept)), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept.tobytes()).hexdigest(), "spans": [{"start": int(x), "end": int(y)} for x, y in spans]})
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(span))])
-    return map_arrow(rows.select("doc_id", "text", "runs"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    def finish(batch: pa.RecordBatch, units: repeats.Bytes, gone: np.ndarray) -> list[dict]:
+        data, offsets, out = units.data, units.offsets, []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            edge = np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)
+            spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
+            kept = data[a:b][~gone[a:b]] if len(spans) else data[a:b]
+            out.append({"n_bytes": b - a, "n_removed": b - a - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept.tobytes()).hexdigest(), "spans": [{"start": x, "end": y} for x, y in spans.tolist()]})
+        return out
+
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(span))])
+    columns = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+    return repeats.marked(df, repeats.Bytes, (max(1, length // 3), length), by_suffixes(length), finish, columns, schema, id_col=id_col, text_col=text_col, most=BATCH)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

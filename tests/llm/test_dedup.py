@@ -1,7 +1,9 @@
 """Suffix-array, substring and line dedup against plain versions."""
 
 import hashlib
+import random
 import re
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -187,6 +189,62 @@ def test_shift_resistance(spark):
     assert got[1] == 0 and got[2] >= 25
 
 
+def shuffled(spark, df):
+    """Bytes that the stages of df write to shuffles."""
+    store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def total():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def test_more_shards_send_no_more_of_each_text(spark, monkeypatch):
+    """Ids of texts went to each shard that has one of their strings: of many shards, one for nearly each string."""
+    rng = random.Random(5)
+    shared = ["".join(rng.choices("abcdefghij ", k=200)) for _ in range(40)]
+    texts = documents(spark, [(i, "".join(rng.choice(shared) + "".join(rng.choices("klmnopqrst ", k=300)) for _ in range(6))) for i in range(300)], clash=False).repartition(2).localCheckpoint()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    sent, answers = [], []
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        for shards in (2, 200):
+            # Only what meets is dealt to more shards, the texts aren't.
+            monkeypatch.setattr(repeats, "tasks", lambda df: shards if sys._getframe(1).f_code.co_name in ("live", "repeated") else 2)
+            answers.append(answer(suffix_dedup.dedup(texts)))
+            sent.append(shuffled(spark, suffix_dedup.dedup(texts)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert answers[0] == answers[1]
+    assert 0 < 4 * sent[1] < 5 * sent[0], sent
+
+
+def test_numbers_that_are_dealt_evenly(spark):
+    for n in (1, 2, 7, 51, 600):
+        k = repeats.even(n).tolist()
+        parts = spark.createDataFrame([(x,) for x in k], "k int").selectExpr(f"pmod(hash(k), {n}) p").distinct().count()
+        assert parts == n == len(set(k))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5) | st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.integers(1, 12))
+def test_least_hash_is_the_same_in_small_and_large_batches(values, span):
+    values = np.array(values, np.uint64) << np.uint64(1)
+    high = [v >> repeats.PLACE for v in values.tolist()]
+    plain = [min(range(i, i + span), key=lambda j: (high[j], j)) for i in range(len(high) - span + 1)]
+    assert repeats.shown(values, span).tolist() == plain
+    assert repeats.sliding_argmin(values >> np.uint64(repeats.PLACE), span).tolist() == plain
+
+
+def test_packed_numbers():
+    for values in ([], [0], [3, 3, 4, 2**32 - 1], list(range(0, 10**6, 997))):
+        v = np.array(values, np.int64)
+        assert repeats.unplaned(repeats.planes(v)).tolist() == values == repeats.unstepped(repeats.steps(v)).tolist()
+
+
 @pytest.mark.parametrize("run", [suffix_dedup.dedup, substring_dedup.dedup, line_dedup.dedup])
 def test_empty_table(spark, run):
     assert run(documents(spark, [])).count() == 0
