@@ -5,9 +5,10 @@ is the one shingle). Documents link when 100 * shared >= percent * all shingles
 
 1. Equal sets (by 128 bits of hash) are one class, led by the least id; only leaders are compared.
 2. Sizes fall in bands from one power of two to the next; a document whose larger partners may lie in the next band is in
-   both. A band has a fixed number of 64-bit words; each shingle toggles one bit of one word. Words of two documents that
-   differ are at most as many as the sketches' Hamming distance, and so as the shingles in which the documents differ:
-   at most `allowed(n)` if they link.
+   both. A band has a fixed number of 64-bit words; each shingle's hash goes to one word, whose bits are the parities of
+   the hashes' bits there. Words of two documents that differ are at most as many as the shingles in which the documents
+   differ: at most `allowed(n)` if they link. Words that agree stand for the same shingles (but for chance of 2^-56), so
+   documents that share no shingle share no key, and keys of a few bits are not met by ever more documents.
 3. So, with more than `allowed(n)` words that are not zero, one of those must agree (pigeonhole), and in any order of all
    (band, word place, word value) keys one agrees among the first allowed(n) + 1 of either document. The order is by how
    frequent a key is: a fixed-size count sketch over all documents tells it, and any error in it is harmless.
@@ -135,7 +136,7 @@ def keys(sets: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray,
         new = np.ones(len(h), bool)
         new[1:] = (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
-        word = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first)
+        word = np.bitwise_xor.reduceat(h, first)
         doc, seg = doc[first], seg[first]
         solid = word != 0
         doc, seg, word = doc[solid], seg[solid], word[solid]

@@ -183,6 +183,20 @@ def test_documents_with_too_few_words_share_a_key():
     assert few.any() and len(key) == len(sketch)
 
 
+def test_documents_without_a_common_shingle_share_no_key():
+    """Words of one or two bits were met by chance, and by more pairs than there are documents."""
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.integers(0, 2**64, 100, dtype=np.uint64)) for _ in range(300)]
+    sketch, key, few = jaccard_join.keys(np.concatenate(sets), np.arange(301) * 100, 75)
+    pairs = np.unique(np.stack([key[~few], (sketch[~few] // 2).astype(np.uint64)]), axis=1)
+    assert len(np.unique(pairs[0])) == pairs.shape[1] > 300 * 30
+    # With all but one shingle in common, all words but two agree.
+    other = np.sort(np.append(sets[0][1:], rng.integers(0, 2**64, dtype=np.uint64)))
+    sketch, key, few = jaccard_join.keys(np.concatenate([sets[0], other]), np.array([0, 100, 200]), 75)
+    one, two = (set(key[(sketch == 2 * i) & ~few].tolist()) for i in (0, 1))
+    assert len(one - two) <= 2 and len(two - one) <= 2 < len(one & two)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(0)
     for _ in range(50):
